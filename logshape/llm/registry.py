@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import near_dedup, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": substring_dedup.ORACLE_OP1,
+        "op8_minhash_near_dedup": near_dedup.ORACLE_OP8,
     }

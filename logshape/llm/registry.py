@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import near_dedup, substring_dedup
+from . import decontaminate, mixing, near_dedup, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_mix_sources": mixing.op2_mix_sources,
+        "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
         "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     }
 
@@ -15,5 +17,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": substring_dedup.ORACLE_OP1,
+        "op7_benchmark_decontamination": decontaminate.ORACLE_OP7,
         "op8_minhash_near_dedup": near_dedup.ORACLE_OP8,
     }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dedup, substring_dedup
+from . import decontaminate, language, mixing, near_dedup, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op4_language_id": language.op4_language_id,
         "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
         "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, near_dedup, substring_dedup
+from . import decontaminate, language, lm_score, mixing, near_dedup, substring_dedup
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_language_id": language.op4_language_id,
         "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
         "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
+        "op10_lm_score": lm_score.op10_lm_score,
     }
 
 

@@ -27,6 +27,7 @@ from .hashing import SPACE_WORDS, Words, slices, windows
 
 ORDER, STRENGTH, SHARD_BYTES = 2, 300.0, 16 << 20
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4A7C15F39)
+BEGIN_KEY = windows(np.array([BEGIN]), np.zeros(1, dtype=np.int64), 1)[1][0]
 SHARD = "shard long, ids binary, train binary, counts binary, vocabulary binary, tokens binary"
 
 
@@ -110,7 +111,7 @@ def totals(parts: int):
         own, cut = sums[which], np.cumsum([len(k) // 8 for _, k, _ in rows])
         small = np.minimum(own, 0xFFFFFFFF).astype(np.uint32) if bucket >= parts else own
         back = [x.tobytes() for x in np.split(small, cut[:-1])]
-        sums = sums[every != BEGIN]
+        sums = sums[every != BEGIN_KEY]
         stats = bucket < parts
         return pa.RecordBatch.from_arrays(
             [pa.array([s for s, _, _ in rows] + [None] * stats, pa.int64()), pa.array([bucket] * (len(rows) + stats), pa.int32()), pa.array(back + [None] * stats, pa.binary()), pa.array([None] * len(rows) + [int(sums.sum())] * stats, pa.int64()), pa.array([None] * len(rows) + [int((sums > 0).sum())] * stats, pa.int64())],

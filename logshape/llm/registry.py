@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, lm_score, mixing, near_dedup, substring_dedup
+from . import decontaminate, language, lm_score, mixing, near_dedup, quality, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op3_quality_rules": quality.op3_quality_rules,
         "op4_language_id": language.op4_language_id,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
         "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
         "op10_lm_score": lm_score.op10_lm_score,

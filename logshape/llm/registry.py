@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, lm_score, mixing, near_dedup, quality, substring_dedup, toxicity
+from . import decontaminate, language, lm_score, mixing, near_dedup, quality, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
         "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
+        "op9_warc": warc.op9_warc,
         "op10_lm_score": lm_score.op10_lm_score,
     }
 
@@ -23,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_substring_dedup": substring_dedup.ORACLE_OP1,
         "op7_benchmark_decontamination": decontaminate.ORACLE_OP7,
         "op8_minhash_near_dedup": near_dedup.ORACLE_OP8,
+        "op9_warc": warc.ORACLE_OP9,
     }

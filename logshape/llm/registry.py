@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, lm_score, mixing, near_dedup, quality, substring_dedup, toxicity, warc
+from . import decontaminate, html_text, language, lm_score, mixing, near_dedup, quality, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_language_id": language.op4_language_id,
+        "op5_html_text": html_text.op5_html_text,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
         "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .hashing import SPACE_WORDS, Words, slices, windows
 
-ORDER, STRENGTH, SHARD_BYTES = 2, 300.0, 16 << 20
+ORDER, STRENGTH, SHARD_BYTES = 2, 300.0, 8 << 20
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4A7C15F39)
 BEGIN_KEY = windows(np.array([BEGIN]), np.zeros(1, dtype=np.int64), 1)[1][0]
 SHARD = "shard long, ids binary, train binary, counts binary, vocabulary binary, tokens binary"
@@ -76,24 +76,42 @@ class Shard:
         return at + n - 1, keys, which
 
 
-def buckets_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where sorted keys are cut into `parts` ranges of equal width; a key's range is its bucket."""
-    edges = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One row at a time, as rows are large."""
+    for i in range(batch.num_rows):
+        yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+
+
+def buckets_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where sorted keys are cut by their first bits; these are a key's bucket."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def requests(order: int, parts: int):
+def short(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The 48 bits after the bucket's, in six bytes a key."""
+    return ((keys << np.uint64(bits)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def requests(order: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 shard = Shard(row)
                 for n in range(1, order + 1):
                     end, keys, which = shard.grams(n)
                     counts = np.bincount(which[shard.train[shard.row[end]]], minlength=len(keys)).astype(np.uint32)
-                    cut = buckets_of(keys, parts)
+                    cut = buckets_of(keys, bits)
                     some = np.flatnonzero(np.diff(cut))
+                    sent = keys if n == 1 else short(keys, bits)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((some + parts * (n - 1)).astype(np.int32)), pa.array([row["shard"]] * len(some), pa.int64()), *[pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()) for x in (keys, counts)]],
+                        [pa.array((some + (n - 1 << bits)).astype(np.int32)), pa.array([row["shard"]] * len(some), pa.int64()), *[pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()) for x in (sent, counts)]],
                         names=["bucket", "shard", "keys", "counts"],
                     )
 
@@ -104,11 +122,11 @@ def totals(parts: int):
     """Sums over shards in each bucket (rows sorted by bucket), sent back in the order asked for; shard null: tokens and distinct tokens of a bucket of single tokens."""
 
     def flush(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
-        keys = np.concatenate([np.frombuffer(k, dtype=np.uint64) for _, k, _ in rows])
+        keys = np.concatenate([np.frombuffer(k, dtype=np.uint64) if bucket < parts else long(k) for _, k, _ in rows])
         counts = np.concatenate([np.frombuffer(c, dtype=np.uint32) for _, _, c in rows])
         every, which = np.unique(keys, return_inverse=True)
         sums = np.bincount(which, weights=counts, minlength=len(every)).astype(np.int64)
-        own, cut = sums[which], np.cumsum([len(k) // 8 for _, k, _ in rows])
+        own, cut = sums[which], np.cumsum([len(c) // 4 for _, _, c in rows])
         small = np.minimum(own, 0xFFFFFFFF).astype(np.uint32) if bucket >= parts else own
         back = [x.tobytes() for x in np.split(small, cut[:-1])]
         sums = sums[every != BEGIN_KEY]
@@ -136,11 +154,10 @@ def totals(parts: int):
 def scores(order: int, strength: float, tokens: int, kinds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 shard = Shard(row)
                 answers = sorted(row["answers"], key=lambda x: x["bucket"])
                 n_at = len(shard.h)
-                total = base = None
                 context = np.zeros(n_at)
                 for n in range(1, order + 1):
                     end, keys, which = shard.grams(n)
@@ -149,20 +166,21 @@ def scores(order: int, strength: float, tokens: int, kinds: int):
                     seen = np.zeros(n_at)
                     seen[end] = c
                     if n == 1:
-                        known = seen > 0
+                        known = (seen > 0).astype(np.int64)
                         p = (seen + 0.1) / (tokens + 0.1 * (kinds + 1))
                         base = np.log10(p)
                     else:
                         # the arc of the history of n - 1 tokens, or its failure arc and the arc of the shorter one
                         history = np.zeros(n_at)
                         history[1:] = context[:-1]
-                        p = np.where(np.isin(np.arange(n_at), end, assume_unique=True), (seen + strength * p) / (history + strength), p)
+                        p[end] = (seen[end] + strength * p[end]) / (history[end] + strength)
                     context = seen
-                total = np.log10(p)
-                body = np.ones(n_at, dtype=bool)
-                body[shard.first] = False
+                    del end, keys, which, c, mine
                 at = shard.first
-                out = [np.add.reduceat(np.where(body, x, 0), at) for x in (known.astype(np.int64), base, total)]
+                out = []
+                for x in (known, base, np.log10(p)):
+                    x[at] = 0  # the begin mark is no token
+                    out.append(np.add.reduceat(x, at))
                 yield pa.RecordBatch.from_arrays([shard.ids.combine_chunks(), pa.array(~shard.train), pa.array(shard.counts + 1), pa.array(out[0]), pa.array([tokens] * len(at), pa.int64()), pa.array(out[1]), pa.array(out[2])], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
@@ -177,13 +195,14 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts are one end token. A null train flag is held out. Rows that repeat are counted and scored
     each. Without training rows every token has the same probability. Other columns are ignored. A shard holds
-    16 MB of text or one longer text.
+    8 MB of text or one longer text. Single tokens are told apart by 64 bits, longer n-grams by their bucket and 48 more.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("__train"), F.col(text_col).alias("__text"))
     shards = written(source.mapInArrow(shard_rows("__text", "id", "__train"), SHARD), "shards")
-    parts = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = shards.mapInArrow(requests(order, parts), "bucket int, shard long, keys binary, counts binary")
+    bits = max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    parts = 1 << bits
+    asked = shards.mapInArrow(requests(order, bits), "bucket int, shard long, keys binary, counts binary")
     answers = written(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(totals(parts), "shard long, bucket int, sums binary, tokens long, kinds long"), "answers")
     tokens, kinds = answers.where("shard is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     of_shard = answers.where("shard is not null").groupBy("shard").agg(F.collect_list(F.struct("bucket", "sums")).alias("answers"))

@@ -1 +1,21 @@
+"""Column functions: tokenise, classify, normalise, slots, keys and displays. All are native expressions."""
 
+from .columns import (
+    classify,
+    dictionary_tokens,
+    display,
+    is_type,
+    jaccard,
+    let,
+    normalize,
+    parsed,
+    placeholder,
+    register,
+    slots_of,
+    slots_of_key,
+    template_key,
+    tokens,
+    values_of,
+)
+
+__all__ = ["classify", "dictionary_tokens", "display", "is_type", "jaccard", "let", "normalize", "parsed", "placeholder", "register", "slots_of", "slots_of_key", "template_key", "tokens", "values_of"]

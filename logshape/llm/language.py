@@ -59,14 +59,17 @@ class Letters:
         inner = offs[1:-1]
         before[inner[inner < n]] = 0x20
         after[inner[inner > 0] - 1] = 0x20
-        at = np.flatnonzero(data != 0x20)
-        p, c, f = (x[at].astype(np.uint32) for x in (before, data, after))
-        self.slots = (((p << np.uint32(16) | c << np.uint32(8) | f) * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
-        self.first = np.flatnonzero(p == 0x20)  # of each word, in slots
-        self.size = np.diff(np.append(self.first, len(at)))
-        self.row = np.searchsorted(offs, at[self.first], side="right") - 1
-        script = SCRIPT_OF[c << np.uint32(8) | f]
-        self.script = np.maximum.reduceat(script, self.first) if len(self.first) else np.zeros(0, dtype=np.uint8)
+        inside = data != 0x20
+        at = np.flatnonzero(inside & (before == 0x20))  # first byte of each word
+        key = np.left_shift(before[inside], np.uint32(16), dtype=np.uint32)
+        key |= np.left_shift(data[inside], np.uint32(8), dtype=np.uint32)
+        key |= after[inside]
+        pair = key.astype(np.uint16)
+        self.slots = ((key * np.uint32(2654435761)) >> np.uint32(16)).astype(np.uint16)
+        self.first = np.flatnonzero(key >> np.uint32(16) == 0x20)  # of each word, in slots
+        self.size = np.diff(np.append(self.first, len(key)))
+        self.row = np.searchsorted(offs, at, side="right") - 1
+        self.script = np.maximum.reduceat(SCRIPT_OF[pair], self.first) if len(self.first) else np.zeros(0, dtype=np.uint8)
 
 
 def count_slots(text: str, lang: str):
@@ -159,7 +162,7 @@ def label(model, text: str, keep: list[str], switch: float):
         m = model.value
         langs, table_of, allowed = np.array(m["langs"], dtype=object), m["score"], m["allowed"]
         for batch in batches:
-            for part in slices(batch, text, 4 << 20):
+            for part in slices(batch, text):
                 names, scores, spans = ["und"] * part.num_rows, np.zeros(part.num_rows), [[] for _ in range(part.num_rows)]
                 words = Letters(part.column(text))
                 if len(langs) and len(words.first):

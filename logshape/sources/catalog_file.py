@@ -1,0 +1,59 @@
+"""The binary form of an encoded log: header, dictionary, lines; written and read in order, a row at a time."""
+
+from __future__ import annotations
+
+import struct
+
+from pyspark.sql import DataFrame, SparkSession
+
+MAGIC, VERSION, HEADER = 0x474C5443, 1, struct.Struct("<IIIIQQQQ")
+
+
+def write_binary(dictionary: DataFrame, lines: DataFrame, original_size: int, path: str) -> int:
+    """Writes one local file from (token_id, token) and (file_id, line_no, ids); returns its size. Rows stream through the driver.
+
+    A token over 65535 bytes or a line over 65535 tokens does not fit the format and raises ValueError."""
+    n_tokens = n_lines = 0
+    with open(path, "wb") as out:
+        out.write(bytes(HEADER.size))
+        for r in dictionary.orderBy("token_id").select("token").toLocalIterator():
+            raw = r.token.encode()
+            if len(raw) > 0xFFFF:
+                raise ValueError("a token has more than 65535 bytes")
+            out.write(struct.pack("<H", len(raw)) + raw)
+            n_tokens += 1
+        data = out.tell()
+        for r in lines.orderBy("file_id", "line_no").select("ids").toLocalIterator():
+            if len(r.ids) > 0xFFFF:
+                raise ValueError("a line has more than 65535 tokens")
+            out.write(struct.pack(f"<H{len(r.ids)}I", len(r.ids), *r.ids))
+            n_lines += 1
+        size = out.tell()
+        out.seek(0)
+        out.write(HEADER.pack(MAGIC, VERSION, 4, n_tokens, n_lines, original_size, HEADER.size, data))
+    return size
+
+
+def read_binary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(dictionary, lines) of a file of write_binary. Damage raises ValueError; ids beyond the dictionary are kept."""
+    with open(path, "rb") as f:
+        raw = f.read()
+    if len(raw) < HEADER.size:
+        raise ValueError("the file is shorter than its header")
+    magic, _, _, n_tokens, n_lines, _, at, data = HEADER.unpack_from(raw)
+    if magic != MAGIC:
+        raise ValueError("not an encoded log")
+    tokens, lines = [], []
+    try:
+        for i in range(n_tokens):
+            (n,) = struct.unpack_from("<H", raw, at)
+            tokens.append((i, raw[at + 2 : at + 2 + n].decode()))
+            at += 2 + n
+        at = data
+        for i in range(n_lines):
+            (n,) = struct.unpack_from("<H", raw, at)
+            lines.append((0, i, list(struct.unpack_from(f"<{n}I", raw, at + 2))))
+            at += 2 + 4 * n
+    except struct.error as e:
+        raise ValueError("the file is cut off") from e
+    return spark.createDataFrame(tokens, "token_id long, token string"), spark.createDataFrame(lines, "file_id int, line_no long, ids array<long>")

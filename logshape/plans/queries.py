@@ -226,7 +226,7 @@ def dict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.round_trip(chat_log(spark, sf_dir))
 
 
-@query(f"SELECT token, row_number() OVER (ORDER BY at, token) - 1 AS token_id FROM (SELECT token, min({{'f': file_id, 'l': line_no, 'p': pos}}) AS at FROM (SELECT file_id, line_no, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM (SELECT file_id, line_no, regexp_extract_all(line, '[^ \\t\\r\\n]+') AS ws FROM ({SQL_LINES['chat_log']}))) GROUP BY token)")
+@query(f"SELECT token, row_number() OVER (ORDER BY seen, token) - 1 AS token_id FROM (SELECT token, min({{'f': file_id, 'l': line_no, 'p': pos}}) AS seen FROM (SELECT file_id, line_no, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM (SELECT file_id, line_no, regexp_extract_all(line, '[^ \\t\\r\\n]+') AS ws FROM ({SQL_LINES['chat_log']}))) GROUP BY token)")
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.encode(chat_log(spark, sf_dir))[0]
 

@@ -8,6 +8,10 @@ are then extended to all L words and compared.
 Both comparisons work alike: hashes go to the partition of their key, where equal ones meet. What is
 equal within one batch is settled before the shuffle, and one representative travels for it, so a
 passage in a third of all documents sends a row a batch. No pairs are made.
+
+Windows travel in runs, keyed by the least hash of the four-word groups in them. Groups that occur in many
+documents are found beforehand and are no keys: a window that reaches beyond a frequent passage is dealt by what
+is its own, and one that lies within it by its own hash. This only spreads the load; results don't depend on it.
 """
 
 from __future__ import annotations
@@ -26,6 +30,10 @@ from .hashing import SECOND_BASE, SPACE_WORDS, Words, int64, mix, slices, whole_
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 
 
+#: A group of words is frequent from one in so many documents on, and from so many in all; no more than so many are broadcast (1.6 MB).
+FREQUENT, LEAST_FREQUENT, MOST_FREQUENT = 512, 100, 200_000
+
+
 def period_for(window: int) -> int:
     """The largest period that leaves an anchor of 40 % of the window."""
     return max(p for p in COVERS if p == 1 or window - p + 1 >= 0.4 * window)
@@ -77,11 +85,38 @@ def repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield from t.select(["__k", "pos"]).take(hit).combine_chunks().to_batches()
 
 
-def window_rows(window: int, text: str):
-    """Runs of windows around repeated anchors. Windows of a run share the least hash of four words in them, which is the partition key."""
+def frequent_rows(gram: int, text: str):
+    """Hashes of word groups that come often within a batch, and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for part in slices(batch, text):
+                words = Words(part.column(text), SPACE_WORDS)
+                found.append(windows(words.hashes(), words.row, gram, SECOND_BASE)[1])
+            if found:
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                often = n >= max(2, batch.num_rows / FREQUENT)
+                yield pa.RecordBatch.from_arrays([pa.array(int64(h[often])), pa.array(n[often].astype(np.int64))], names=["gram", "n"])
+
+    return run
+
+
+def frequent_groups(docs: DataFrame, gram: int, text_col: str) -> np.ndarray:
+    """Sorted hashes of the groups that come about once in FREQUENT documents or more, at most MOST_FREQUENT of them, the most frequent first."""
+    least = max(LEAST_FREQUENT, docs.count() // FREQUENT)
+    counted = docs.select(F.col(text_col).alias("__text")).mapInArrow(frequent_rows(gram, "__text"), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r.gram for r in counted.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).collect()], dtype=np.int64).view(np.uint64))
+
+
+def window_rows(window: int, text: str, frequent):
+    """Runs of windows around repeated anchors. Windows of a run share the partition key: the least hash of the four-word groups in
+    them that are not frequent (a broadcast, sorted); a window without one is keyed by its own hash."""
     period, gram = period_for(window), min(4, window)
+    none = np.iinfo(np.uint64).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.append(frequent.value, none)
         for batch in batches:
             got: list[list[np.ndarray]] = [[], [], [], [], []]
             for part in slices(batch, text):
@@ -101,13 +136,14 @@ def window_rows(window: int, text: str):
                 if not len(i):
                     continue
                 h2 = windows(h, row, window, SECOND_BASE)[1][pick]
-                g = np.full(len(h), np.iinfo(np.uint64).max, dtype=np.uint64)
+                g = np.full(len(h), none, dtype=np.uint64)
                 gi, gh = windows(h, row, gram, SECOND_BASE)
-                g[gi] = gh
+                g[gi] = np.where(often[np.searchsorted(often, gh)] == gh, none, gh)
                 low = np.lib.stride_tricks.sliding_window_view(g, window - gram + 1)
                 least = np.empty(len(i), dtype=np.uint64)
                 for b in range(0, len(i), 50_000):
                     least[b : b + 50_000] = low[i[b : b + 50_000]].min(axis=1)
+                least = np.where(least == none, h1, least)
                 k = part.column("__k").to_numpy(zero_copy_only=False)[row[i]]
                 for x, y in zip(got, (h1, h2, least, k, i - words.first[row[i]]), strict=True):
                     x.append(y)
@@ -201,7 +237,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = anchors.repartition("p").sortWithinPartitions("p").mapInArrow(repeated_anchors, "__k long, pos int")
     anchors = anchors.groupBy("__k").agg(F.collect_list("pos").alias("__anchors"))
     # the whole rows, so that this join and the last one read the same shuffle of documents
-    spans = keyed.join(anchors, "__k").mapInArrow(window_rows(window, text_col), "p long, __k long, pos int, n int, hashes binary")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_groups(docs, min(4, window), text_col))
+    spans = keyed.join(anchors, "__k").mapInArrow(window_rows(window, text_col, frequent), "p long, __k long, pos int, n int, hashes binary")
     spans = spans.repartition("p").sortWithinPartitions("p").mapInArrow(repeated_spans(window), "__k long, from int, to int")
     spans = spans.groupBy("__k").agg(F.collect_list(F.struct("from", "to")).alias("__spans"))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "n_words long, n_removed long, kept_text string"])

@@ -30,8 +30,9 @@ def passages(seed, n=60):
     return texts
 
 
-@pytest.mark.parametrize("window", [1, 3, 8, 35])
-def test_substring_dedup_matches_brute_force(spark, window):
+@pytest.mark.parametrize(("window", "least"), [(1, 100), (3, 2), (8, 2), (35, 2), (35, 100)])
+def test_substring_dedup_matches_brute_force(spark, monkeypatch, window, least):
+    monkeypatch.setattr(substring_dedup, "LEAST_FREQUENT", least)  # 2: nearly all shared passages are frequent
     texts = ODD + passages(window) + ["x y z " * 60, "same text here " * 20, "same text here " * 20]
     got = {r.doc_id: r for r in substring_dedup.remove_repeats(frame(spark, list(enumerate(texts))), window=window).collect()}
     assert len(got) == len(texts)

@@ -47,11 +47,16 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents of which words are taken, with size, source_size, target and taken (words, repeats counted). Null sources are a source."""
-    mixed, sources = mixing.mix_sources(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
+    """The mix: documents of which words are taken, with size, source_size, target and taken (words, repeats counted). Null sources are a source.
+
+    Input columns of these names give way."""
+    new = ("size", "source_size", "target", "taken")
+    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("__row"))
+    mixed, sources = mixing.mix_sources(packed, keep=("__row",))
     own = mixed.where("taken > 0").withColumn("__source", F.element_at("sources", 1))
     sources = sources.withColumnRenamed("source", "__name")
-    return own.join(sources, F.col("__source").eqNullSafe(F.col("__name"))).select(*docs.columns, "size", "source_size", "target", "taken")
+    own = own.join(sources, F.col("__source").eqNullSafe(F.col("__name")))
+    return own.select(*[F.col(f"__row.{c}") for c in docs.columns if c.lower() not in new], *new)
 
 
 STAGES = [

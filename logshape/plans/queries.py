@@ -25,22 +25,28 @@ def event_line() -> Column:
     )
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; one of fewer splits than cores is dealt out, as parsing is what costs. Larger ones are read as they lie."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file: the type of event; number: its id."""
-    t = spark.read.parquet(f"{sf_dir}/events.parquet")
+    t = _table(spark, sf_dir, "events")
     return t.select(F.col("event_type").alias("file_id"), F.col("event_id").alias("line_no"), event_line().alias("line"))
 
 
 def doc_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents; file: the source; number: the document's id and the place in it."""
-    t = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    t = _table(spark, sf_dir, "documents")
     t = t.select(F.col("source").alias("file_id"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return t.select("file_id", (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("line_no"), "line")
 
 
 def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of conversations; file: the role; number: conversation, turn and place."""
-    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    t = _table(spark, sf_dir, "conversations")
     t = t.select(F.col("role").alias("file_id"), "conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return t.select("file_id", (F.col("conv_id") * 1_000_000_000 + F.col("turn") * 100_000 + F.col("pos")).alias("line_no"), "line")
 
@@ -308,7 +314,7 @@ def first_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with("event_log") + ", w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, key FROM kl JOIN events ON event_id = line_no) SELECT strftime(hour, '%Y-%m-%d %H') AS hour, md5(key) AS key_md5, count(*) AS cnt FROM w GROUP BY hour, key")
 def template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming operator over a whole table."""
-    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", event_line().alias("line"))
+    lines = _table(spark, sf_dir, "events").select("ts", event_line().alias("line"))
     return template_counts(lines, "ts", "1 hour").select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), _md5("key").alias("key_md5"), "cnt")
 
 

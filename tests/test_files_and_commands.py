@@ -55,7 +55,7 @@ NORMAL = ["two words", "three more words", "x", "w" * 60_000, " ".join(["v"] * 1
 def test_encode_and_decode(spark, tmp_path, capsys):
     (tmp_path / "in.log").write_text(TEXT)
     assert cli.main(["encode", str(tmp_path / "in.log"), str(tmp_path / "enc")], spark) == 0
-    assert "Tokens: 10" in capsys.readouterr().out
+    assert "Tokens: 9" in capsys.readouterr().out
     assert cli.main(["decode", str(tmp_path / "enc"), str(tmp_path / "out")], spark) == 0
     parts = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-"))
     assert "".join(p.read_text() for p in parts).splitlines() == NORMAL

@@ -3,7 +3,8 @@
 Documents are aggregated by the set of sources they belong to. A flow network routes each pattern's words,
 once for each allowed repetition and dearer each time, to the quotas of its sources; the cheapest largest flow
 says how often a pattern is used. Within a pattern whole documents are then taken in an order given by a seed:
-word counts of 4096 hash ranges locate the cut, and only the range that holds it is ordered row by row.
+word counts of 4096 hash ranges locate the cut, and only the range that holds it is ordered row by row. What is
+left of the quota is filled by size, the largest first and as many of each as fit, found in the same way.
 
 What reaches the driver is one row a pattern, and each source needs a weight, so their number is that of a
 configuration; more than MAX_PATTERNS raises an error.
@@ -121,8 +122,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     source_col is a string, or an array of strings for documents of several sources; weights are dealt to the
     sources by code point, null last, and repeat. `taken` is the words that the mix takes, repeats counted: a
-    multiple of size up to limit. What a source misses of its quota is below the size of each of its unused documents
-    whose size no used one of the last fill has. Equal inputs give equal results.
+    multiple of size up to limit. What is missed of a pattern's flow is below the size of each of its documents that the
+    last round leaves out. Equal inputs give equal results.
 
     A null or empty array, a null source and nulls in an array are the source null. Null and empty texts have
     size 0 and nothing is taken of them. Rows that repeat are documents of their own and tie in order; an empty
@@ -133,7 +134,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = word_count(text_col) if size is None else size
     sized = docs.select(*[F.col(c) for c in keep], F.col(id_col).alias("__id"), names.alias("__names"), size.cast("long").alias("__size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("__h"), row_key(id_col, text_col, F.lit(seed)).alias("__tie"))
     sized = sized.withColumn("__pattern", F.to_json("__names", {"ignoreNullFields": "false"}))
-    sized = written(sized.withColumn("__range", F.shiftrightunsigned("__h", 52).cast("int")), "sized")
+    # rows that repeat are told apart by a number, so that as many of them are taken as fit
+    sized = written(sized.withColumn("__range", F.shiftrightunsigned("__h", 52).cast("int")).withColumn("__n", F.monotonically_increasing_id()), "sized")
     rows = sized.groupBy("__pattern").agg(F.first("__names").alias("names"), F.sum("__size").alias("size")).orderBy("__pattern").limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -152,20 +154,35 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = written(ranges.where("before <= rest").groupBy("__pattern").agg(F.max(F.struct("__range", "before")).alias("c")).select("__pattern", F.col("c.__range").alias("cut"), F.col("c.before").alias("before")).join(plan, "__pattern"), "cuts")
     placed = sized.join(cut, "__pattern")
     inside = placed.where("__range = cut")
-    order = W.partitionBy("__pattern").orderBy("__h", "__id", "__tie").rowsBetween(W.unboundedPreceding, 0)
+    key = ("__h", "__id", "__tie", "__n")
+    order = W.partitionBy("__pattern").orderBy(*key).rowsBetween(W.unboundedPreceding, 0)
     inside = inside.withColumn("upto", F.col("before") + F.sum("__size").over(order))
-    last = inside.where("upto <= rest").groupBy("__pattern").agg(F.max(F.struct("__h", "__id", "__tie", "upto")).alias("last"))
+    last = inside.where("upto <= rest").groupBy("__pattern").agg(F.max(F.struct(*key, "upto")).alias("last"))
     edge = written(cut.join(last, "__pattern", "left").withColumn("left", F.col("rest") - F.coalesce("last.upto", "before")), "edges")
-    taken = (F.col("__range") < F.col("cut")) | F.coalesce((F.col("__range") == F.col("cut")) & (F.struct("__h", "__id", "__tie") <= F.struct("last.__h", "last.__id", "last.__tie")), F.lit(False))
-    placed = sized.join(edge, "__pattern").withColumn("__taken", taken)
-    # what is left goes to further documents, the largest that fits first, one of each size at most; left is below one document's size
-    more = placed.where("not __taken and __size > 0 and __size <= left").groupBy("__pattern", "__size", "left").agg(F.min(F.struct("__h", "__id", "__tie")).alias("d"))
-    more = more.groupBy("__pattern", "left").agg(F.sort_array(F.collect_list(F.struct("__size", "d.*")), asc=False).alias("c"))
+
+    def up_to(cut: str, last: str) -> Column:
+        inside = (F.col("__range") == F.col(cut)) & (F.struct(*key) <= F.struct(*[f"{last}.{c}" for c in key]))
+        return F.coalesce((F.col("__range") < F.col(cut)) | inside, F.lit(False))
+
+    placed = sized.join(edge, "__pattern").withColumn("__taken", up_to("cut", "last"))
+    # what is left goes to further documents, the largest that fit first, as many of each size as fit; less is left than the smallest not taken
+    more = placed.where("not __taken and __size > 0 and __size <= left")
+    counts = written(more.groupBy("__pattern", "__size", "left", "__range").agg(F.count("*").alias("n")), "size-counts")
+    by_size = counts.groupBy("__pattern", "left", "__size").agg(F.sum("n").alias("n"))
+    by_size = by_size.groupBy("__pattern", "left").agg(F.sort_array(F.collect_list(F.struct("__size", "n")), asc=False).alias("c"))
     start = F.struct(F.col("left").alias("left"), F.slice("c", 1, 0).alias("got"))
-    fits = F.aggregate("c", start, lambda a, x: F.when(x["__size"] <= a["left"], F.struct((a["left"] - x["__size"]).alias("left"), F.array_append(a["got"], x).alias("got"))).otherwise(a))
-    more = more.select("__pattern", fits["got"].alias("more"))
-    extra = F.coalesce(F.array_contains("more", F.struct("__size", "__h", "__id", "__tie")), F.lit(False))
-    placed = sized.join(written(edge.join(more, "__pattern", "left"), "selection"), "__pattern").withColumn("__taken", taken | extra)
+    fit = lambda a, x: F.least(x["n"], F.floor(a["left"] / x["__size"]))
+    fits = F.aggregate("c", start, lambda a, x: F.when(x["__size"] <= a["left"], F.struct((a["left"] - fit(a, x) * x["__size"]).alias("left"), F.array_append(a["got"], F.struct(x["__size"].alias("__size"), fit(a, x).alias("n"))).alias("got"))).otherwise(a))
+    wanted = by_size.select("__pattern", F.explode(fits["got"]).alias("w")).select("__pattern", F.col("w.__size").alias("__size"), F.col("w.n").alias("wanted"))
+    before = W.partitionBy("__pattern", "__size").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.join(wanted, ["__pattern", "__size"]).withColumn("fewer", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    cuts = counts.where("fewer < wanted").groupBy("__pattern", "__size", "wanted").agg(F.max(F.struct("__range", "fewer")).alias("c"))
+    cuts = written(cuts.select("__pattern", "__size", F.col("c.__range").alias("size_cut"), (F.col("wanted") - F.col("c.fewer")).alias("wanted")), "size-cuts")
+    inside = more.join(cuts, ["__pattern", "__size"]).where("__range = size_cut")
+    inside = inside.withColumn("rank", F.row_number().over(W.partitionBy("__pattern", "__size").orderBy(*key))).where("rank <= wanted")
+    lasts = inside.groupBy("__pattern", "__size").agg(F.max(F.struct(*key)).alias("size_last"))
+    picks = written(cuts.join(lasts, ["__pattern", "__size"]).select("__pattern", "__size", "size_cut", "size_last"), "selection")
+    placed = placed.join(picks, ["__pattern", "__size"], "left").withColumn("__taken", F.col("__taken") | up_to("size_cut", "size_last"))
     total = (F.col("rounds") + F.col("__taken").cast("long")) * F.col("__size")
     return placed.select(*keep, F.col("__id").alias(id_col), F.col("__names").alias("sources"), F.col("__size").alias("size"), total.alias("taken")), table_of
 

@@ -65,6 +65,18 @@ def test_mix(spark):
     assert {r.doc_id for r in mixed.collect()} == {1, 2, 3, 4} and {r.source for r in sources.collect()} == {"x", "y", None}
 
 
+@pytest.mark.parametrize("ids", [range(1000), [None] * 1000, [5] * 1000])
+def test_mix_fills_with_many_documents_of_one_size(spark, ids):
+    """A very long document beside many of equal size: no seed misses more than the smallest document left out, repeated rows too."""
+    docs = frame(spark, [(i, "w " * 10, "a") for i in ids] + [(-1, "w " * 2000, "a"), (-2, "w " * 13, "a")], "doc_id long, text string, source string").cache()
+    for seed in range(6):
+        mixed, sources = mixing.mix_sources(docs, seed=seed)
+        got, goal = mixed.collect(), round(sources.first().target)
+        missed, rounds = goal - sum(r.taken for r in got), min(r.taken // r.size for r in got)
+        assert len(got) == len(ids) + 2 and all(r.taken in (r.size * rounds, r.size * (rounds + 1)) for r in got)
+        assert 0 <= missed < min(r.size for r in got if r.taken == rounds * r.size)
+
+
 # --- language ---------------------------------------------------------------------------------------------------
 
 TONGUES = {"aa": "ka lo mi nu ra se", "bb": "schu ent keit ung der", "gg": "ал но ст ен", "ru": "ов жи щу ый"}

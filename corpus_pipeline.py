@@ -20,13 +20,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one with the smallest doc_id. Similarity is 0.8 or more on five-word shingles.
+    """Keeps one row of each group: that of the smallest doc_id, null last. Similarity is 0.8 or more on five-word shingles.
 
-    An id goes if no row with it is kept; documents without an id, which could not be told apart, stay, as do repeated rows of a
-    kept id. Texts without words are alone in their group."""
-    found = near_dedup.near_duplicates(docs, percent=80)
-    gone = written(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id"), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    Rows that share an id, or have none, are told apart by their text, and of equal ones one stays. Texts without words are
+    alone in their group, so such rows stay."""
+    return near_dedup.survivors(docs, percent=80)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -193,6 +193,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated rows among them, are one class. Null ids: such a row takes the smallest id of its component, null if
     there is none, and is not kept. Rows that share the smallest id are all kept.
     """
+    out = labelled_rows(docs, id_col, text_col, size, percent, miss)
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def labelled_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, miss: float) -> DataFrame:
+    """(k, id, n, label, component_id) of each row of docs: its key, id and number of shingles, the component and its smallest id; label is null if n is 0."""
     keyed = docs.select(row_key(id_col, text_col).alias("__k"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     sig = written(keyed.mapInArrow(signatures("__text", size), "k long, id long, n long, s1 long, s2 long, bands array<long>, sig binary"), "signatures")
     classes = written(sig.where("n > 0").groupBy("s1", "s2").agg(F.min("k").alias("rep"), F.min("id").alias("min_id")), "classes")
@@ -224,10 +231,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("label"), "min_id")
     joined = written(joined, "labelled")
     ids = written(joined.groupBy("label").agg(F.min("min_id").alias("component_id")), "component-ids")
-    joined = written(joined.join(ids, "label").select("s1", "s2", "component_id"), "class-components")
-    out = sig.select("id", "n", "s1", "s2").join(joined, ["s1", "s2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    joined = written(joined.join(ids, "label").select("s1", "s2", "label", "component_id"), "class-components")
+    out = sig.select("k", "id", "n", "s1", "s2").join(joined, ["s1", "s2"], "left")
+    return out.select("k", "id", "n", "label", "component_id")
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
+    """The rows of docs without near duplicates: of each component of near_duplicates one row, that of the smallest id, null last.
+
+    Rows of one id, or without one, go by their text's hash, and of rows equal in id and text that with the least of the
+    other columns stays. Rows without words are in no component and stay, repeated ones too.
+    """
+    found = written(labelled_rows(docs, id_col, text_col, size, percent, miss).where("n > 0").select("k", "id", "label"), "labelled-rows")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("z")).select("label", F.col("z.k").alias("k"))
+    first = written(first, "first-rows")
+    rows = found.groupBy("k").agg(F.count("*").alias("m"))
+    gone = written(rows.join(first, "k", "left_anti").select("k"), "duplicates")
+    again = written(rows.where("m > 1").join(first, "k", "left_semi").select("k"), "repeated-rows")
+    keyed = docs.select(row_key(id_col, text_col).alias("__k"), F.struct(*docs.columns).alias("__row"))
+    others = F.to_json(F.struct(*[F.col(f"__row.{c}") for c in docs.columns if c not in (id_col, text_col)], F.lit(0).alias("__none")))
+    one = keyed.join(again.withColumnRenamed("k", "__k"), "__k", "left_semi").groupBy("__k").agg(F.min_by("__row", others).alias("__row"))
+    return keyed.join(gone.unionAll(again).withColumnRenamed("k", "__k"), "__k", "left_anti").select("__row.*").unionAll(one.select("__row.*"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

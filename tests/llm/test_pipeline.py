@@ -91,3 +91,21 @@ def test_odd_rows_stage_by_stage(spark):
     assert sorted(of(2), key=repr) == sorted([(r[0], r[1]) for r in ODD], key=repr)
     assert len(of(3)) == len(ODD)
     assert count(4, None) == 1  # nothing is taken of texts without words
+
+
+def test_one_row_of_a_group_stays_whole(spark):
+    """Texts longer than the window, with repeated ids and none: near-dedup keeps one row, so the next stage has nothing to cut."""
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    rows = [(i, t + end, "en", s, 9) for ids, t, ends in (
+        ([1, 1, 1], texts[0], ["", "", ""]), ([None, None, None], texts[1], ["", "", ""]), ([None, 3, 2, None], texts[2], ["", "", "", " x"]), ([None, None], texts[3], ["", " x"]),
+        ([7, 7], texts[4], ["", " x"]), ([7], texts[5], [""]), ([None, None, 8, 8], "", [""] * 4),
+    ) for i, end, s in zip(ids, ends, "vstu")]
+    docs = spark.createDataFrame(rows, KINDS).repartition(3)
+    kept = corpus_pipeline.written(corpus_pipeline.near_dedup_stage(spark, docs, SMALL), "t-kept")
+    got = kept.collect()
+    assert all(tuple(r) in rows for r in got) and len(got) == 10
+    for t, ids in zip(texts, ([1], [None], [2], [None], [7], [7]), strict=True):
+        assert [r.doc_id for r in got if r.text.startswith(t)] == ids
+    assert [r.source for r in got if r.text == texts[0]] == [r.source for r in got if r.text == texts[1]] == ["s"]
+    cut = corpus_pipeline.substring_dedup_stage(spark, kept, SMALL).collect()
+    assert sorted(map(repr, cut)) == sorted(map(repr, got))

@@ -3,7 +3,8 @@
 Texts with equal shingle sets form a class, and one text of each class goes on. Members of a bucket
 (equal values of one band) are compared in the worker that holds the bucket: signature values are read a
 batch at a time, and a pair is dropped as soon as the posterior probability that its similarity reaches
-the threshold is below the chosen miss probability. Pairs live in numpy only.
+the threshold is below a bound; over all batches a pair at the threshold is lost with the chosen miss
+probability at most. Pairs live in numpy only.
 
 Two rounds keep the exact work small. The first sends each text with its best surviving partner to exact
 verification, so a group of n copies costs n pairs. The second looks at pairs of different components only,
@@ -14,7 +15,7 @@ than BLOCK is cut into blocks, and each pair of blocks is a group of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,18 @@ from pyspark.sql import functions as F
 from .common import row_key, table, written
 from .hashing import SPACE_WORDS, Words, int64, mix, slices, whole_groups, windows
 
-BANDS, ROWS, HASHES, BATCH, BLOCK = 24, 6, 256, 32, 2048
+HASHES, BATCH, BLOCK = 256, 32, 2048
+#: A pair at the threshold differs in all bands with this probability at most; bands of more rows are taken up to so many hashes.
+BAND_MISS, BAND_HASHES = 1.2e-5, 150
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the most rows with which bands for BAND_MISS at the threshold fit into BAND_HASHES hashes, one row if none fits."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    of = lambda rows: 1 if percent == 100 else ceil(log(BAND_MISS) / log1p(-((percent / 100) ** rows)))
+    rows = max((r for r in range(2, 11) if r * of(r) <= BAND_HASHES), default=1)
+    return of(rows), rows
 
 
 def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,9 +57,9 @@ def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return row[new], h[new]
 
 
-def signatures(text: str, size: int):
+def signatures(text: str, size: int, n_bands: int, n_rows: int):
     rng = np.random.default_rng(20_240_601)
-    a, b = (rng.integers(0, 1 << 32, BANDS * ROWS + HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in "ab")
+    a, b = (rng.integers(0, 1 << 32, n_bands * n_rows + HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,7 +68,7 @@ def signatures(text: str, size: int):
                 n = np.bincount(row, minlength=part.num_rows).astype(np.int64)
                 some = np.flatnonzero(n)
                 first = (np.cumsum(n) - n)[some]
-                mins = np.zeros((part.num_rows, BANDS * ROWS + HASHES), dtype=np.uint32)
+                mins = np.zeros((part.num_rows, n_bands * n_rows + HASHES), dtype=np.uint32)
                 s = np.zeros((2, part.num_rows), dtype=np.uint64)
                 if len(some):
                     low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
@@ -64,14 +76,14 @@ def signatures(text: str, size: int):
                         mins[some, j] = np.minimum.reduceat(low * a[j] + high * b[j], first)
                     for j, salt in enumerate((0x1234567, 0x89ABCDEF01)):
                         s[j, some] = mix(np.add.reduceat(mix(h ^ np.uint64(salt)), first) + n[some].view(np.uint64))
-                bands = np.zeros((part.num_rows, BANDS), dtype=np.uint64)
-                for j in range(BANDS):
+                bands = np.zeros((part.num_rows, n_bands), dtype=np.uint64)
+                for j in range(n_bands):
                     x = np.full(part.num_rows, j + 1, dtype=np.uint64)
-                    for c in range(j * ROWS, (j + 1) * ROWS):
+                    for c in range(j * n_rows, (j + 1) * n_rows):
                         x = mix(x * np.uint64(0x9E3779B97F4A7C15) + mins[:, c])
                     bands[:, j] = x
-                offs = pa.array(np.arange(0, (part.num_rows + 1) * BANDS, BANDS, dtype=np.int32))
-                sig = np.ascontiguousarray(mins[:, BANDS * ROWS :].astype(np.uint8))
+                offs = pa.array(np.arange(0, (part.num_rows + 1) * n_bands, n_bands, dtype=np.int32))
+                sig = np.ascontiguousarray(mins[:, n_bands * n_rows :].astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("__k"), part.column("__id"), pa.array(n), pa.array(int64(s[0])), pa.array(int64(s[1])), pa.ListArray.from_arrays(offs, pa.array(int64(bands.ravel()))), pa.array([x.tobytes() for x in sig], pa.binary())],
                     names=["k", "id", "n", "s1", "s2", "bands", "sig"],
@@ -85,21 +97,40 @@ def least_matches(threshold: float, miss: float) -> list[int]:
     out = []
     for n in range(BATCH, HASHES + 1, BATCH):
         below, m = 0.0, -1
-        while below < miss:  # P(Beta(m + 1, n - m + 1) >= t) = P(Bin(n + 1, t) <= m)
+        while below < miss and m < n:  # P(Beta(m + 1, n - m + 1) >= t) = P(Bin(n + 1, t) <= m)
             m += 1
             below += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
         out.append(m)
     return out
 
 
-def compare_buckets(least: list[int], best_only: bool):
+def pruned(threshold: float, least: list[int]) -> float:
+    """The probability that a pair at the threshold has fewer matches than `least` after some batch."""
+    step = [comb(BATCH, k) * threshold**k * (1 - threshold) ** (BATCH - k) for k in range(BATCH + 1)]
+    left, lost = np.ones(1), 0.0
+    for m in least:
+        left = np.convolve(left, step)
+        lost += left[:m].sum()
+        left[:m] = 0
+    return float(lost)
+
+
+def bounds(threshold: float, miss: float) -> list[int]:
+    """least_matches at a share of `miss` for each batch so small that all batches together lose a pair at the threshold with `miss` at most."""
+    share = miss * BATCH / HASHES
+    while pruned(threshold, least := least_matches(threshold, share)) > miss:
+        share /= 2
+    return least
+
+
+def compare_buckets(least: list[int], best_only: bool, n_bands: int):
     """Surviving pairs (x, y), y < x, of the sorted groups t: the best one of each x, or all between different components c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "t", 4000):
             t = t.combine_chunks()
             group, k, c, b, block, lone = (t.column(x).to_numpy() for x in ("t", "k", "c", "b", "block", "lone"))
-            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(k), BANDS) if len(k) else np.zeros((0, BANDS), dtype=np.int64)
+            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(k), n_bands) if len(k) else np.zeros((0, n_bands), dtype=np.int64)
             own = np.argmax(bands == b[:, None], axis=1)
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(len(k), HASHES)
             best, partner = np.full(len(k), -1, dtype=np.int32), np.zeros(len(k), dtype=np.int64)
@@ -186,8 +217,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two texts are linked if their sets of distinct `size`-word shingles, A-Z lower-cased, have a Jaccard
     similarity of percent / 100 or more; a component is what links reach, and its id the smallest document id in
-    it. Links are confirmed on whole sets. A linked pair is missed only if all 24 bands of 6 MinHash values
-    differ (1e-5 at 0.85) or its posterior falls below `miss` on the way.
+    it. Links are confirmed on whole sets. A linked pair is missed only if all bands of MinHash values
+    differ (BAND_MISS at most: 24 bands of 6 at 0.85, 29 of 5 at 0.8) or it is pruned on the way (`miss` at most, all batches
+    together); both are bounds for a pair at the threshold, and a pair above it is missed more rarely.
 
     Null texts and texts without words have n_shingles 0 and are their own component. Rows with equal sets,
     repeated rows among them, are one class. Null ids: such a row takes the smallest id of its component, null if
@@ -200,21 +232,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def labelled_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, miss: float) -> DataFrame:
     """(k, id, n, label, component_id) of each row of docs: its key, id and number of shingles, the component and its smallest id; label is null if n is 0."""
+    n_bands, n_rows = banding(percent)
     keyed = docs.select(row_key(id_col, text_col).alias("__k"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    sig = written(keyed.mapInArrow(signatures("__text", size), "k long, id long, n long, s1 long, s2 long, bands array<long>, sig binary"), "signatures")
+    sig = written(keyed.mapInArrow(signatures("__text", size, n_bands, n_rows), "k long, id long, n long, s1 long, s2 long, bands array<long>, sig binary"), "signatures")
     classes = written(sig.where("n > 0").groupBy("s1", "s2").agg(F.min("k").alias("rep"), F.min("id").alias("min_id")), "classes")
     reps = written(sig.where("n > 0").select("k", "bands", "sig").join(classes.select(F.col("rep").alias("k")), "k", "left_semi").dropDuplicates(["k"]), "representatives")
     banded = reps.select("k", F.explode("bands").alias("b"))
     shared = written(banded.groupBy("b").agg(F.count("*").alias("m")).where("m > 1"), "shared-bands")
     members = written(banded.join(shared, "b").select("b", "m", "k").join(reps, "k"), "members")
     texts = written(keyed.select(F.col("__k").alias("k"), F.col("__text").alias("text")).join(members.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]), "candidate-texts")
-    least = least_matches(percent / 100, miss)
+    least = bounds(percent / 100, miss)
 
     def compared(rows: DataFrame, best_only: bool) -> DataFrame:
         n = F.ceil(F.col("m") / BLOCK)
         rows = rows.withColumn("block", F.pmod(F.xxhash64("k", F.lit(1)), n)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
         rows = rows.select("k", "c", "b", "bands", "sig", "block", (F.col("block") == F.col("o")).alias("lone"), F.xxhash64("b", F.least("block", "o"), F.greatest("block", "o")).alias("t"))
-        return rows.repartition("t").sortWithinPartitions("t").mapInArrow(compare_buckets(least, best_only), "x long, y long, same int")
+        return rows.repartition("t").sortWithinPartitions("t").mapInArrow(compare_buckets(least, best_only, n_bands), "x long, y long, same int")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         x, y = (texts.select(F.col("k").alias(c), F.col("text").alias(f"text_{c}")) for c in "xy")

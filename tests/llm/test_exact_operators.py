@@ -90,6 +90,21 @@ def test_bayesian_bounds():
     assert all(m < 0.85 * 32 * (i + 1) for i, m in enumerate(least))
 
 
+@pytest.mark.parametrize("percent", [1, 30, 50, 80, 85, 95, 100])
+def test_stated_miss_probabilities(percent):
+    bands, rows = near_dedup.banding(percent)
+    assert (1 - (percent / 100) ** rows) ** bands <= 1.2e-5
+    assert near_dedup.pruned(percent / 100, near_dedup.bounds(percent / 100, 1e-4)) <= 1e-4
+    assert near_dedup.banding(85) == (24, 6)
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """4000 pairs of 40 common shingles of 50: at most two are lost."""
+    docs = [(2 * i + j, " ".join(f"{i}x{k}" for k in range(54 if j else 44))) for i in range(4000) for j in (0, 1)]
+    found = near_dedup.near_duplicates(frame(spark, docs), percent=80)
+    assert found.where("doc_id % 2 = 1 and component_id = doc_id").count() <= 2
+
+
 def contaminated(seed=4):
     rng = random.Random(seed)
     items = [(i, " ".join(prose(rng, rng.choice((1, 2, 5, 8, 9, 30)), 60))) for i in range(25)] + [(98, None), (99, " ..."), (None, "w1 w2 w3 w4 w5 w6 w7 w8"), (3, "another text of item three")]

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logshape.functions import classify, dictionary_tokens, display, parsed, slots_of, slots_of_key, template_key, tokens, values_of
 
 
+def has_tokens(line: str | Column) -> Column:
+    """Whether a line has a token: any character but blanks begins one. A test of the parsed tokens instead would be pushed below their projection, and parse the line again."""
+    return (F.col(line) if isinstance(line, str) else line).rlike(r"[^ \t\r\n]")
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """(file_id, line_no, key, vars) of each line that has tokens; vars are the values in order with their types. Null lines have none."""
-    parts = lines.select("file_id", "line_no", F.transform(tokens("line"), parsed).alias("parts")).where(F.size("parts") > 0)
+    parts = lines.where(has_tokens("line")).select("file_id", "line_no", F.transform(tokens("line"), parsed).alias("parts"))
     return parts.select("file_id", "line_no", template_key(slots_of("parts")).alias("key"), values_of("parts").alias("vars"))
 
 
@@ -21,7 +26,8 @@ def template_stats(parsed_lines: DataFrame) -> DataFrame:
 
 def var_stats(parsed_lines: DataFrame) -> DataFrame:
     """(file_id, value, cnt, first_line): every occurrence counts, several a line too."""
-    values = parsed_lines.select("file_id", "line_no", F.explode("vars.value").alias("value"))
+    # not explode: it lets a test of the array's size be inferred, which parses each line again
+    values = parsed_lines.select("file_id", "line_no", F.explode_outer("vars.value").alias("value")).where("value is not null")
     return values.groupBy("file_id", "value").agg(F.count("*").alias("cnt"), F.min("line_no").alias("first_line"))
 
 
@@ -48,8 +54,8 @@ def top_values(stats: DataFrame, n: int, by_first: bool = False) -> DataFrame:
 
 def interned(parsed_lines: DataFrame) -> DataFrame:
     """(token) all distinct strings of slots and values: literals after normalisation, and values."""
-    literal = parsed_lines.select(F.explode(slots_of_key("key")["lit"]).alias("token")).where("token is not null")
-    return literal.unionAll(parsed_lines.select(F.explode("vars.value").alias("token"))).distinct()
+    literal = parsed_lines.select(F.explode_outer(slots_of_key("key")["lit"]).alias("token"))
+    return literal.unionAll(parsed_lines.select(F.explode_outer("vars.value").alias("token"))).where("token is not null").distinct()
 
 
 def token_counts(lines: DataFrame) -> DataFrame:
@@ -69,5 +75,5 @@ def dictionary_counts(lines: DataFrame) -> DataFrame:
 
 def value_distribution(parsed_lines: DataFrame) -> DataFrame:
     """(key, slot, value, file_id, cnt): values by their place among a template's values."""
-    values = parsed_lines.select("file_id", "key", F.posexplode("vars.value").alias("slot", "value"))
+    values = parsed_lines.select("file_id", "key", F.posexplode_outer("vars.value").alias("slot", "value")).where("value is not null")
     return values.groupBy("key", "slot", "value", "file_id").agg(F.count("*").alias("cnt"))

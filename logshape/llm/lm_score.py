@@ -1,15 +1,16 @@
-"""Log-probabilities of texts under a smoothed word n-gram model, evaluated as a weighted backoff automaton.
+"""Log-probabilities of texts under a smoothed word n-gram model, as a weighted backoff automaton.
 
 A state is a history of up to order - 1 tokens that occurs in training. A state has an arc for each token
 seen after it, weighted by the log of the smoothed probability, and a failure arc to the history without
-its first token, weighted by the log of the mass left for it. A traversal reads a text from left to right,
-follows failure arcs until an arc matches, and adds up the weights. Smoothing is by a Dirichlet prior of
+its first token, weighted by the log of the mass left for it. A traversal reads a text from left to right, carries
+the state, follows failure arcs until an arc matches, and adds up the weights. Smoothing is by a Dirichlet prior of
 strength K around the shorter history: p(w | h) = (c(hw) + K p(w | h')) / (c(h) + K).
 
 Counts cover all training text and are not held in one place. A shard is the documents of one part of a
 batch. It asks for the counts of the distinct n-grams of its own texts, which is all of the automaton that
 its texts can reach: keys go to the partition of their hash, are summed there over all shards, and the
-sums go back. So an n-gram travels once a shard however often it occurs.
+sums go back. So an n-gram travels once a shard however often it occurs. Each shard then builds its states, arcs and
+failure arcs, and its texts are traversed side by side, long ones in pieces that begin in the state that the tokens before lead to.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from .common import table, written
 from .hashing import SPACE_WORDS, Words, slices, windows
 
 ORDER, STRENGTH, SHARD_BYTES = 2, 300.0, 8 << 20
+#: A bucket of keys gets about so many requests at most; a piece of a traversal has so many tokens at most.
+BUCKET, PIECE = 2_000_000, 256
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4A7C15F39)
 BEGIN_KEY = windows(np.array([BEGIN]), np.zeros(1, dtype=np.int64), 1)[1][0]
-SHARD = "shard long, ids binary, train binary, counts binary, vocabulary binary, tokens binary"
+SHARD = "shard long, n long, ids binary, train binary, counts binary, vocabulary binary, tokens binary"
 
 
 def shard_rows(text: str, id_col: str, train: str):
@@ -47,7 +50,7 @@ def shard_rows(text: str, id_col: str, train: str):
                 flags = part.column(train).to_numpy(zero_copy_only=False).astype(bool)
                 data = [sink.getvalue().to_pybytes(), flags.tobytes(), np.concatenate(counts).astype(np.int64).tobytes(), vocabulary.tobytes(), tokens.astype(np.uint32).tobytes()]
                 # the number is fixed once the table is written
-                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(os.urandom(7), "big")]), *[pa.array([x], pa.binary()) for x in data]], names=["shard", "ids", "train", "counts", "vocabulary", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(os.urandom(7), "big")]), pa.array([len(tokens) + 2 * part.num_rows]), *[pa.array([x], pa.binary()) for x in data]], names=["shard", "n", "ids", "train", "counts", "vocabulary", "tokens"])
 
     return run
 
@@ -73,7 +76,7 @@ class Shard:
         """Last positions of the n-grams, the distinct keys, and each one's key."""
         at, h = windows(self.h, self.row, n)
         keys, which = np.unique(h, return_inverse=True)
-        return at + n - 1, keys, which
+        return at + n - 1, keys, which.astype(np.int32)
 
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -151,37 +154,109 @@ def totals(parts: int):
     return run
 
 
+class Automaton:
+    """The states, arcs and failure arcs that a shard's texts can reach.
+
+    State 0 is the empty history; it has an arc for every token, also for those not seen in training. The other states are
+    the histories seen in training. arcs holds sorted keys (state, token), with weights and next states beside them."""
+
+    def __init__(self, shard: Shard, counts: list[np.ndarray], strength: float, tokens: int, kinds: int):
+        order = len(counts)
+        self.word = np.full(len(shard.h), -1, dtype=np.int32)  # of each position: its token
+        self.after = np.zeros(len(shard.h), dtype=np.int32)  # of each position: the state that the tokens up to it lead to
+        fail, back, keys, weights, to = [np.zeros(1, dtype=np.int32)], [np.zeros(1)], [], [], []
+        n_states = 1
+        longest = np.zeros(len(shard.h), dtype=np.int32)  # of each position: its gram of the length before
+        resolved, chance = np.zeros(1, dtype=np.int32), None  # of grams of the length before: the state of their longest seen end, and their probability
+        for n in range(1, order + 1):
+            end, distinct, which = shard.grams(n)
+            c = counts[n - 1]
+            one = np.zeros(len(distinct), dtype=np.int64)
+            one[which] = end  # a place of each gram
+            if n == 1:
+                self.word[end] = which
+                self.known = c > 0
+                p = (c + 0.1) / (tokens + 0.1 * (kinds + 1))
+                self.base = np.log10(p)
+            else:
+                history, rest = longest[one - 1], longest[one]
+                p = (c + strength * chance[rest]) / (history_count[history] + strength)
+            state = resolved[longest[one]] if n > 1 else np.zeros(len(distinct), dtype=np.int32)
+            seen = np.flatnonzero(c > 0)
+            if n < order:  # seen grams are states; the failure arc leads to the state of the rest
+                fail.append(state[seen]), back.append(np.log10(strength / (c[seen] + strength)))
+                state = state.copy()
+                state[seen] = np.arange(n_states, n_states + len(seen))
+                n_states += len(seen)
+                self.after[end] = state[which]
+            if n == 1:
+                self.root_to = state
+            else:
+                keys.append(resolved[history[seen]].astype(np.int64) * len(self.base) + self.word[one[seen]])
+                weights.append(np.log10(p[seen])), to.append(state[seen])
+            longest[end], resolved, chance, history_count = which, state, p, c
+        self.fail, self.back = np.concatenate(fail), np.concatenate(back)
+        none = [np.zeros(0)]
+        order_of = np.argsort(np.concatenate(keys or none))
+        self.arcs, self.weights, self.to = (np.concatenate(x or none)[order_of] for x in (keys, weights, to))
+        self.arcs, self.to = self.arcs.astype(np.int64), self.to.astype(np.int32)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Reads one token in each state: the weights, failure arcs included, and the next states."""
+        weight, after = np.zeros(len(state)), np.zeros(len(state), dtype=np.int32)
+        left, now = np.arange(len(state)), state
+        while len(left):
+            at_root = now == 0
+            own = left[at_root]
+            weight[own] += self.base[word[own]]
+            after[own] = self.root_to[word[own]]
+            left, now = left[~at_root], now[~at_root]
+            if not len(left):
+                break
+            key = now.astype(np.int64) * len(self.base) + word[left]
+            at = np.minimum(np.searchsorted(self.arcs, key), max(0, len(self.arcs) - 1))
+            hit = self.arcs[at] == key if len(self.arcs) else np.zeros(len(key), dtype=bool)
+            own = left[hit]
+            weight[own] += self.weights[at[hit]]
+            after[own] = self.to[at[hit]]
+            left, now = left[~hit], now[~hit]
+            weight[left] += self.back[now]
+            now = self.fail[now]
+        return weight, after
+
+    def traverse(self, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Sums of weights of the texts that have n tokens after their begin mark at first."""
+        pieces = -(-n // PIECE)
+        row = np.repeat(np.arange(len(n)), pieces)
+        place = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+        begin, size = first[row] + 1 + place, np.minimum(n[row] - place, PIECE)
+        by_size = np.argsort(-size, kind="stable")
+        row, begin, size = row[by_size], begin[by_size], size[by_size]
+        state, total = self.after[begin - 1], np.zeros(len(row))
+        live = np.searchsorted(-size, -np.arange(1, PIECE + 1), side="right")  # pieces with at least t tokens
+        for t in range(int(size[0]) if len(size) else 0):
+            k = live[t]
+            weight, state = self.step(state[:k], self.word[begin[:k] + t])
+            total[:k] += weight
+        return np.bincount(row, weights=total, minlength=len(n))
+
+
 def scores(order: int, strength: float, tokens: int, kinds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
-                shard = Shard(row)
-                answers = sorted(row["answers"], key=lambda x: x["bucket"])
-                n_at = len(shard.h)
-                context = np.zeros(n_at)
+                shard, counts = Shard(row), []
                 for n in range(1, order + 1):
-                    end, keys, which = shard.grams(n)
-                    mine = [a["sums"] for a in answers if a["bucket"] // row["parts"] == n - 1]
-                    c = np.frombuffer(b"".join(mine), dtype=np.int64 if n == 1 else np.uint32).astype(np.float64)[which]
-                    seen = np.zeros(n_at)
-                    seen[end] = c
-                    if n == 1:
-                        known = (seen > 0).astype(np.int64)
-                        p = (seen + 0.1) / (tokens + 0.1 * (kinds + 1))
-                        base = np.log10(p)
-                    else:
-                        # the arc of the history of n - 1 tokens, or its failure arc and the arc of the shorter one
-                        history = np.zeros(n_at)
-                        history[1:] = context[:-1]
-                        p[end] = (seen[end] + strength * p[end]) / (history[end] + strength)
-                    context = seen
-                    del end, keys, which, c, mine
-                at = shard.first
-                out = []
-                for x in (known, base, np.log10(p)):
-                    x[at] = 0  # the begin mark is no token
-                    out.append(np.add.reduceat(x, at))
-                yield pa.RecordBatch.from_arrays([shard.ids.combine_chunks(), pa.array(~shard.train), pa.array(shard.counts + 1), pa.array(out[0]), pa.array([tokens] * len(at), pa.int64()), pa.array(out[1]), pa.array(out[2])], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                    mine = sorted((a["bucket"], a["sums"]) for a in row["answers"] if a["bucket"] // row["parts"] == n - 1)
+                    counts.append(np.frombuffer(b"".join(x for _, x in mine), dtype=np.int64 if n == 1 else np.uint32).astype(np.float64))
+                model = Automaton(shard, counts, strength, tokens, kinds)
+                inner = np.ones(len(shard.h), dtype=bool)
+                inner[shard.first] = False  # the begin mark is no token
+                word, own = model.word[inner], shard.row[inner]
+                known = np.bincount(own, weights=model.known[word], minlength=len(shard.first)).astype(np.int64)
+                base = np.bincount(own, weights=model.base[word], minlength=len(shard.first))
+                score = model.traverse(shard.first, shard.counts + 1)
+                yield pa.RecordBatch.from_arrays([shard.ids.combine_chunks(), pa.array(~shard.train), pa.array(shard.counts + 1), pa.array(known), pa.array([tokens] * len(known), pa.int64()), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -200,7 +275,8 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("__train"), F.col(text_col).alias("__text"))
     shards = written(source.mapInArrow(shard_rows("__text", "id", "__train"), SHARD), "shards")
-    bits = max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    total = shards.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), (total // BUCKET).bit_length())
     parts = 1 << bits
     asked = shards.mapInArrow(requests(order, bits), "bucket int, shard long, keys binary, counts binary")
     answers = written(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(totals(parts), "shard long, bucket int, sums binary, tokens long, kinds long"), "answers")
@@ -211,44 +287,6 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
-class Automaton:
-    """The model of a few texts as explicit states, arcs and failure arcs; a plain form of what shards evaluate."""
-
-    def __init__(self, texts: list[list[str]], order: int, strength: float):
-        self.order, counts = order, {}
-        for words in texts:
-            seq = ("<s>", *words, "</s>")
-            for n in range(1, order + 1):
-                for i in range(len(seq) - n + 1):
-                    counts[seq[i : i + n]] = counts.get(seq[i : i + n], 0) + 1
-        single = {k[0]: c for k, c in counts.items() if len(k) == 1 and k[0] != "<s>"}
-        total, kinds = sum(single.values()), len(single)
-        low = lambda c: np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
-        self.arcs: dict[tuple, dict[str, float]] = {(): {w: low(c) for w, c in single.items()}}
-        self.other = low(0)
-        self.failure: dict[tuple, float] = {}
-        for n in range(2, order + 1):
-            for gram, c in ((g, c) for g, c in counts.items() if len(g) == n):
-                state = gram[:-1]
-                self.failure[state] = np.log10(strength / (counts[state] + strength))
-                shorter = self.weight(state[1:], gram[-1])
-                self.arcs.setdefault(state, {})[gram[-1]] = np.log10((c + strength * 10**shorter) / (counts[state] + strength))
-
-    def weight(self, state: tuple, word: str) -> float:
-        total = 0.0
-        while word not in self.arcs.get(state, ()):
-            if not state:
-                return total + self.other
-            total, state = total + self.failure.get(state, 0.0), state[1:]
-        return total + self.arcs[state][word]
-
-    def traverse(self, words: list[str]) -> float:
-        state, total = ("<s>",)[: self.order - 1], 0.0
-        for word in (*words, "</s>"):
-            total += self.weight(state, word)
-            state = (*state, word)[max(0, len(state) + 2 - self.order) :] if self.order > 1 else ()
-        return total
-
-
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all documents by the model of those whose crc32(doc_id as text) modulo 10 is not 0; a null doc_id is held out."""
     return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), F.crc32(F.col("doc_id").cast("string")) % 10 != 0)

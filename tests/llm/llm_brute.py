@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small inputs."""
 
+import math
 import re
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -92,3 +93,42 @@ def text_statistics(text):
         "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": dup, "n_repeat_words": len(repeated), "n_lines": lines, "n_distinct": len(set(w)),
         "n_upper": sum("A" <= c <= "Z" for c in text), "n_digits": sum("0" <= c <= "9" for c in text), "n_ends": sum(x[-1] in ".!?" for x in w),
     }
+
+
+class PlainAutomaton:
+    """The model of a few texts with states, arcs and failure arcs in dictionaries."""
+
+    def __init__(self, texts: list[list[str]], order: int, strength: float):
+        self.order, counts = order, {}
+        for words in texts:
+            seq = ("<s>", *words, "</s>")
+            for n in range(1, order + 1):
+                for i in range(len(seq) - n + 1):
+                    counts[seq[i : i + n]] = counts.get(seq[i : i + n], 0) + 1
+        single = {k[0]: c for k, c in counts.items() if len(k) == 1 and k[0] != "<s>"}
+        total, kinds = sum(single.values()), len(single)
+        low = lambda c: math.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
+        self.arcs: dict[tuple, dict[str, float]] = {(): {w: low(c) for w, c in single.items()}}
+        self.other = low(0)
+        self.failure: dict[tuple, float] = {}
+        for n in range(2, order + 1):
+            for gram, c in ((g, c) for g, c in counts.items() if len(g) == n):
+                state = gram[:-1]
+                self.failure[state] = math.log10(strength / (counts[state] + strength))
+                shorter = self.weight(state[1:], gram[-1])
+                self.arcs.setdefault(state, {})[gram[-1]] = math.log10((c + strength * 10**shorter) / (counts[state] + strength))
+
+    def weight(self, state: tuple, word: str) -> float:
+        total = 0.0
+        while word not in self.arcs.get(state, ()):
+            if not state:
+                return total + self.other
+            total, state = total + self.failure.get(state, 0.0), state[1:]
+        return total + self.arcs[state][word]
+
+    def traverse(self, words: list[str]) -> float:
+        state, total = ("<s>",)[: self.order - 1], 0.0
+        for word in (*words, "</s>"):
+            total += self.weight(state, word)
+            state = (*state, word)[max(0, len(state) + 2 - self.order) :] if self.order > 1 else ()
+        return total

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from llm_brute import lower, words
+from llm_brute import PlainAutomaton, lower, words
 from pyspark.sql import functions as F
 
 from logshape.llm import html_text, language, lm_score, mixing, toxicity, warc
@@ -239,14 +239,15 @@ def test_records():
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores_match_the_automaton(spark, monkeypatch, order):
     monkeypatch.setattr(lm_score, "SHARD_BYTES", 400)
+    monkeypatch.setattr(lm_score, "PIECE", 7)  # texts are cut into pieces
     rng = random.Random(order)
     texts = [" ".join(rng.choice(["A", "b", "c", "D", "é"]) for _ in range(rng.randint(0, 25))) for _ in range(60)] + [None, "", "zz new words", "b " * 3000]
     rows = [(i, t, i % 3 != 0) for i, t in enumerate(texts)] + [(7, texts[7], True), (None, "a b", None)]
     df = frame(spark, rows, "doc_id long, text string, learn boolean")
     got = lm_score.score_texts(df, F.col("learn"), order=order, strength=2.5).collect()
     seqs = [words(lower(t)) for _, t, y in rows if y]
-    model = lm_score.Automaton(seqs, order, 2.5)
-    base = lm_score.Automaton(seqs, 1, 2.5)
+    model = PlainAutomaton(seqs, order, 2.5)
+    base = PlainAutomaton(seqs, 1, 2.5)
     n = sum(len(s) + 1 for s in seqs)
     known = {w for s in seqs for w in s} | {"</s>"}
     by = {r.doc_id: r for r in got}
@@ -258,3 +259,9 @@ def test_scores_match_the_automaton(spark, monkeypatch, order):
     assert lm_score.score_texts(df.limit(0), F.col("learn")).collect() == []
     flat = lm_score.score_texts(df, F.lit(False)).collect()
     assert {r.train_tokens for r in flat} == {0} and all(r.score == pytest.approx(0.0) for r in flat if r.n_tokens == 1)
+
+
+def test_scores_come_from_the_traversal(spark, monkeypatch):
+    df = frame(spark, [(1, "a b c"), (2, "a b")])
+    monkeypatch.setattr(lm_score.Automaton, "traverse", lambda self, first, n: np.full(len(n), 1.25))
+    assert {r.score for r in lm_score.score_texts(df, F.lit(True)).collect()} == {1.25}

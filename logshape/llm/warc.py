@@ -1,8 +1,8 @@
 """WARC archives with revisits, and a two-level capture index.
 
 Archives hold one gzip member a record. The index sorts captures by reversed-host URL key into compressed blocks
-of lines; a sparse directory keeps each block's first key, file, offset and length. A look-up searches the
-directory by halving, reads one block, and then the byte range of the record. Blocks grow with the
+of lines; a sparse directory keeps each block's first and last key, file, offset and length. A look-up searches the
+directory by halving, reads one block, searches its lines by halving, and then reads the byte range of the record. Blocks grow with the
 number of captures, so that the directory never has more than DIRECTORY entries and may be sent to all tasks.
 
 Executors write archives and blocks straight into the shared folder through pyarrow's file systems, under names
@@ -19,15 +19,16 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, scratch_dir, table, written
+from .common import scratch_dir, table, written
 
-LINES, DIRECTORY, LEVEL = 2000, 200_000, 5
+LINES, DIRECTORY, LEVEL = 2000, 100_000, 5
 DATE = "2024-01-01T00:00:00Z"
 CAPTURES = "key string, page string, file string, offset long, length long, digest string, type string"
 
@@ -152,7 +153,8 @@ def write_blocks(folder: str, lines: int):
                 out = store.open_output_stream(f"{path}/{name}", compression=None)
             raw = gzip.compress("".join(json.dumps(x, ensure_ascii=False) + "\n" for x in held).encode(), 6, mtime=0)
             out.write(raw)
-            row = pa.RecordBatch.from_arrays([pa.array([held[0]["key"]]), pa.array([held[-1]["key"]]), pa.array([name]), pa.array([at]), pa.array([len(raw)]), pa.array([len(held)])], names=["first", "last", "file", "offset", "length", "lines"])
+            ends = [pa.array([x[c]]) for x in (held[0], held[-1]) for c in ("key", "page")]
+            row = pa.RecordBatch.from_arrays([*ends, pa.array([name]), pa.array([at]), pa.array([len(raw)]), pa.array([len(held)])], names=["first", "first_page", "last", "last_page", "file", "offset", "length", "lines"])
             at += len(raw)
             held.clear()
             return row
@@ -171,17 +173,18 @@ def write_blocks(folder: str, lines: int):
 
 
 def build_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Writes blocks of captures sorted by key (then page) and returns the directory: first, last, file, offset, length, lines."""
+    """Writes blocks of captures sorted by key, then page, and returns the directory: first and last of both, file, offset, length, lines."""
     lines = max(LINES, -(-captures.count() // (DIRECTORY // 2)))
     ordered = captures.repartitionByRange("key", "page").sortWithinPartitions("key", "page", "file", "offset")
-    return written(ordered.mapInArrow(write_blocks(folder, lines), "first string, last string, file string, offset long, length long, lines long"), "directory")
+    return written(ordered.mapInArrow(write_blocks(folder, lines), "first string, first_page string, last string, last_page string, file string, offset long, length long, lines long"), "directory")
 
 
 class Archive:
-    """Range reads of blocks and records, with open files kept."""
+    """Look-ups in an index, and range reads of blocks and records. Files stay open, and the last block is kept."""
 
-    def __init__(self, records: str, blocks: str):
+    def __init__(self, directory: list[tuple], records: str, blocks: str):
         self.stores, self.files = {"records": open_store(records), "blocks": open_store(blocks)}, {}
+        self.entries, self.lasts, self.held = directory, [e[2:4] for e in directory], (None, [], [])
 
     def read(self, kind: str, name: str, offset: int, length: int) -> bytes:
         if (kind, name) not in self.files:
@@ -193,61 +196,78 @@ class Archive:
         f.seek(offset)
         return f.read(length)
 
-    def block(self, file: str, offset: int, length: int) -> list[dict]:
-        return [json.loads(x) for x in zlib.decompress(self.read("blocks", file, offset, length), 31).decode().split("\n") if x]
+    def block(self, n: int) -> tuple[list[tuple], list[dict]]:
+        """The (key, page) of the captures of a block, and the captures."""
+        if self.held[0] != n:
+            captures = [json.loads(x) for x in zlib.decompress(self.read("blocks", *self.entries[n][4:]), 31).decode().split("\n") if x]
+            self.held = n, [(c["key"], c["page"]) for c in captures], captures
+        return self.held[1:]
+
+    def find(self, key: str, page: str | None = None) -> Iterator[dict]:
+        """Captures of a key, or of a key and page, by halving the directory and then the block."""
+        at = (key, page or "")
+        n = bisect.bisect_left(self.lasts, at)
+        while n < len(self.entries) and (self.entries[n][:2] <= at if page is not None else self.entries[n][0] <= key):
+            names, captures = self.block(n)
+            for i in range(bisect.bisect_left(names, at), len(names)):
+                if names[i][0] != key or (page is not None and names[i][1] != page):
+                    break
+                yield captures[i]
+            n += 1
 
     def record(self, capture: dict) -> dict:
         return parse(zlib.decompress(self.read("records", capture["file"], capture["offset"], capture["length"]), 31))
 
 
-def read_blocks(records: str, blocks: str):
-    """All records of the directory's blocks; those of a block are read in the order they lie in the archives."""
+def directory_rows(directory: DataFrame) -> list[tuple]:
+    """The directory in order, as look-ups want it; its size is bounded by DIRECTORY."""
+    rows = directory.select("first", "first_page", "last", "last_page", "file", "offset", "length").limit(DIRECTORY + 1).collect()
+    if len(rows) > DIRECTORY:
+        raise ValueError("the directory is larger than its bound")
+    return sorted(tuple(r) for r in rows)
+
+
+def read_back(names: DataFrame, directory: DataFrame, records: str, blocks: str) -> DataFrame:
+    """(page, payload_bytes, digest, type, refers_to) of each record of the rows (key, page) in names, found through the index.
+
+    Rows are dealt in the index's order, so a task reads few blocks, each once; LINES records at a time are read in the order they lie in
+    the archives. Rows that repeat are looked up once and give all of their records."""
+    shared = names.sparkSession.sparkContext.broadcast(directory_rows(directory))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive = Archive(records, blocks)
+        archive = Archive(shared.value, records, blocks)
         for batch in batches:
-            for b in batch.to_pylist():
-                captures = sorted(archive.block(b["file"], b["offset"], b["length"]), key=lambda c: (c["file"], c["offset"]))
-                got = [archive.record(c) for c in captures]
+            wanted = zip(batch.column("key").to_pylist(), batch.column("page").to_pylist(), strict=True)
+            found = (c for key, page in wanted for c in archive.find(key, page))
+            while captures := sorted(islice(found, LINES), key=lambda c: (c["file"], c["offset"])):
+                got = [{**archive.record(c), "payload": None} for c in captures]
                 yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in (("page", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("type", pa.string()), ("refers_to", pa.string()))], names=["page", "payload_bytes", "digest", "type", "refers_to"])
 
-    return run
+    rows = names.select("key", "page").distinct().repartitionByRange("key", "page").sortWithinPartitions("key", "page")
+    return rows.mapInArrow(run, "page string, payload_bytes long, digest string, type string, refers_to string")
 
 
 def look_up(urls: DataFrame, directory: DataFrame, records: str, blocks: str, url_col: str = "url") -> DataFrame:
-    """(url, page, type, digest, payload) of each capture of each row's URL key; no row if there is none. The directory is bounded."""
-    spark = urls.sparkSession
-    rows = sorted((tuple(r) for r in directory.select("first", "last", "file", "offset", "length").limit(DIRECTORY + 1).collect()))
-    if len(rows) > DIRECTORY:
-        raise ValueError("the directory is larger than its bound")
-    shared = spark.sparkContext.broadcast(rows)
+    """(url, page, type, digest, payload) of each capture of each row's URL key; no row if there is none. A revisit has no payload of its own."""
+    shared = urls.sparkSession.sparkContext.broadcast(directory_rows(directory))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive, entries = Archive(records, blocks), shared.value
-        firsts = [e[0] for e in entries]
+        archive = Archive(shared.value, records, blocks)
         for batch in batches:
-            out = []
             for url in batch.column("url").to_pylist():
-                key = url_key(url)
-                # blocks that may hold the key: from the last that begins before it
-                i = max(0, bisect.bisect_left(firsts, key) - 1)
-                while i < len(entries) and firsts[i] <= key:
-                    if entries[i][1] >= key:
-                        for c in archive.block(*entries[i][2:]):
-                            if c["key"] == key:
-                                r = archive.record(c)
-                                out.append((url, r["page"], r["type"], r["digest"], r["payload"]))
-                    i += 1
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary() if i == 4 else pa.string()) for i in range(5)], names=["url", "page", "type", "digest", "payload"])
+                for c in archive.find(url_key(url)):
+                    r = archive.record(c)
+                    row = (url, r["page"], r["type"], r["digest"], r["payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if i == 4 else pa.string()) for i, x in enumerate(row)], names=["url", "page", "type", "digest", "payload"])
 
     return urls.select(F.col(url_col).cast("string").alias("url")).mapInArrow(run, "url string, page string, type string, digest string, payload binary")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as records, and reads each back through its key in the index. A null page_id stays null."""
     records, blocks = shared_uri(spark, "warc"), shared_uri(spark, "warc-index")
-    directory = build_index(write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), records), blocks)
-    spread = directory.repartition(max(1, min(directory.count(), 4096)), row_key("file", "offset"))
-    out = spread.mapInArrow(read_blocks(records, blocks), "page string, payload_bytes long, digest string, type string, refers_to string")
+    captures = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), records)
+    out = read_back(captures, build_index(captures, blocks), records, blocks)
     return out.select(F.expr("try_cast(page as bigint)").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
 
 

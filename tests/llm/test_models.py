@@ -191,7 +191,7 @@ def test_toxicity(spark):
             rows[-1] = (*rows[-1], y)
     held, docs = [r for r in rows if len(r) == 3], frame(spark, [r[:2] for r in rows])
     model = toxicity.train(docs, frame(spark, [*labels, (None, 1), (5, None)], "doc_id long, toxic int"))
-    assert set(bad) <= set(model["terms"]) and any("anti skarl" == p for p in model["exceptions"])
+    assert set(bad) <= set(model["terms"]) and ("anti skarl", "skarl") in model["exceptions"]
     odd = [(5000, None, 0), (5001, "", 0), (5002, "skarl " * 50_000, 0)]
     got = {r.doc_id: r.score for r in toxicity.score(frame(spark, held + odd, "doc_id long, text string, weight int"), model).collect()}
     assert sum((got[i] >= 0.5) == bool(y) for i, _, y in held) / len(held) > 0.95
@@ -212,7 +212,7 @@ def test_archives_round_trip(spark, monkeypatch):
     captures = warc.write_archives(pages, records, most_bytes=2000)
     directory = warc.build_index(captures, blocks)
     assert captures.count() == len(rows) and directory.count() > 10 and captures.select("file").distinct().count() > 1
-    got = directory.mapInArrow(warc.read_blocks(records, blocks), "page string, payload_bytes long, digest string, type string, refers_to string").collect()
+    got = warc.read_back(captures, directory, records, blocks).collect()
     top = {}
     for i, _, html in rows:
         top[html or ""] = max(top.get(html or "", -1), i)
@@ -221,6 +221,13 @@ def test_archives_round_trip(spark, monkeypatch):
     urls = frame(spark, [("http://h3.org/p?a=8&b=2",), ("http://nowhere.org/",), ("http://h0.org/p?b=2&a=5",), (None,)], "url string")
     found = sorted((r.url or "", r.page, None if r.payload is None else bytes(r.payload)) for r in warc.look_up(urls, directory, records, blocks).collect())
     assert found == [("", "70", None), ("http://h0.org/p?b=2&a=5", "5", b"<p>5</p>"), ("http://h0.org/p?b=2&a=5", "5", b"<p>5</p>"), ("http://h3.org/p?a=8&b=2", "8", b"<p>8</p>")]
+    # records are found through the index only: without the directory there are none, and a part of it finds a part
+    assert warc.read_back(captures, directory.limit(0), records, blocks).count() == 0
+    assert 0 < warc.read_back(captures, directory.orderBy("first", "first_page").limit(4), records, blocks).count() < len(rows)
+    same = frame(spark, [(i % 9, "http://one.org/", "x") for i in range(50)], "page_id long, url string, html string")
+    many = warc.write_archives(same, records)
+    index = warc.build_index(many, blocks)
+    assert warc.read_back(many, index, records, blocks).count() == 50 == warc.look_up(urls.limit(1).withColumn("url", F.lit("http://one.org/")), index, records, blocks).count()
     empty = warc.build_index(warc.write_archives(pages.limit(0), records), blocks)
     assert empty.count() == 0 and warc.look_up(urls, empty, records, blocks).count() == 0
 

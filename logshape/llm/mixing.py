@@ -74,9 +74,6 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
                         if q not in seen:
                             seen.add(q)
                             todo.append(q)
-        if len(ps) == len(sources) == 1:
-            out[p0] = min(quotas[next(iter(sources))], limit * patterns[p0][1])
-            continue
         graph: dict = defaultdict(dict)  # node -> {node: [capacity, cost]}
 
         def arc(a, b, cap, cost):
@@ -196,6 +193,7 @@ def _sizes(rows: list, number: dict) -> list[int]:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents; a null source is a source, a null doc_id a document of its own."""
     docs, sources = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     own = docs.withColumn("source", F.element_at("sources", 1))
     return own.join(sources, own.source.eqNullSafe(sources.source)).select("doc_id", "size", "source_size", "target", "taken")

@@ -1,7 +1,7 @@
 """Language of texts and of spans within them.
 
 Each word is scored for every language by its byte trigrams (the bytes around each letter, hashed to 2**16
-slots). The scripts of its characters narrow the languages to those that use them. A Viterbi pass over a
+slots). The script of its characters narrows the languages to those that use it: no other is scored or can be its label. A Viterbi pass over a
 text's words, with a penalty for each change of language, labels spans; the text's language is the one
 with most letters.
 """
@@ -22,6 +22,8 @@ SLOTS = 1 << 16
 #: Labelled documents of each language that a model is fitted on.
 SAMPLE = 4000
 SWITCH = 12.0
+#: The score of a language that does not use a word's script.
+EXCLUDED = np.float32(-1e9)
 MAX_LANGUAGES = 200
 SCRIPTS = {
     "greek": ((0x370, 0x3FF),), "cyrillic": ((0x400, 0x52F),), "armenian": ((0x530, 0x58F),), "hebrew": ((0x590, 0x5FF),), "arabic": ((0x600, 0x6FF), (0x750, 0x77F)),
@@ -155,24 +157,31 @@ def viterbi(score: np.ndarray, row: np.ndarray, rows: int, switch: float) -> np.
     return out
 
 
+def word_scores(words: Letters, model: dict) -> np.ndarray:
+    """(words, languages): log-probabilities, for each script of the languages that use it only; a script that none uses excludes none."""
+    table_of, allowed = model["score"], model["allowed"]
+    score = np.full((len(words.first), table_of.shape[1]), EXCLUDED, dtype=np.float32)
+    for script in np.unique(words.script):
+        mine = words.script == script
+        slots, size = (words.slots, words.size) if mine.all() else (words.slots[np.repeat(mine, words.size)], words.size[mine])
+        first = np.cumsum(size) - size
+        for j in np.flatnonzero(allowed[script] if allowed[script].any() else ~allowed[script]):
+            score[mine, j] = np.add.reduceat(table_of[:, j][slots], first)
+    return score
+
+
 def label(model, text: str, keep: list[str], switch: float):
     """Appends lang_pred, score and spans (first word, words, language)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        langs, table_of, allowed = np.array(m["langs"], dtype=object), m["score"], m["allowed"]
+        langs = np.array(m["langs"], dtype=object)
         for batch in batches:
             for part in slices(batch, text):
                 names, scores, spans = ["und"] * part.num_rows, np.zeros(part.num_rows), [[] for _ in range(part.num_rows)]
                 words = Letters(part.column(text))
                 if len(langs) and len(words.first):
-                    score = np.empty((len(words.first), len(langs)), dtype=np.float32)
-                    bounds = words.first
-                    for j in range(len(langs)):
-                        score[:, j] = np.add.reduceat(table_of[:, j][words.slots], bounds)
-                    narrow = allowed[words.script]
-                    narrow[~narrow.any(axis=1)] = True
-                    score[~narrow] -= 30.0
+                    score = word_scores(words, m)
                     state = viterbi(score, words.row, part.num_rows, switch)
                     weight = np.zeros((part.num_rows, len(langs)))
                     np.add.at(weight, (words.row, state), words.size)
@@ -212,6 +221,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; rows whose crc32(doc_id as text) modulo 4 is 2 are held out. With a null doc_id held_out is null, and the row is learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
     model = train(docs.where("not coalesce(held_out, false)"))
     return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")

@@ -36,6 +36,10 @@ DIGITS = str.maketrans({k: v for k, v in SIGNS.items() if k.isdigit()})
 NOT_WORD = re.compile(r"[\W_]+")
 
 
+#: Of each ASCII byte of lower-cased text: what it folds to.
+ASCII = bytes(ord(SIGNS.get(chr(b), chr(b))) if chr(b).isalnum() else 0x20 for b in range(128)) + bytes(128)
+
+
 def fold(text: str) -> str:
     """Folded words, one space before and after each."""
     text = text.lower()
@@ -43,6 +47,9 @@ def fold(text: str) -> str:
         text = text.translate(FOLD)
     if "$" in text or "@" in text or "!" in text or "|" in text:
         text = INNER_SIGN.sub(lambda m: SIGNS[m[0]], text)
+    if text.isascii():  # the same without a regular expression
+        words = text.encode().translate(ASCII).split()
+        return f" {b' '.join(words).decode()} " if words else " "
     return NOT_WORD.sub(" ", f" {text} ").translate(DIGITS)
 
 
@@ -53,62 +60,63 @@ def _copy_key(words: list[str]) -> int:
     return min((xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0) >> 1
 
 
-def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fold_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled texts folded once: the words joined by a space, and the copy key."""
     for batch in batches:
-        words, keys, toxic = [], [], []
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            own = fold(text or "").split()
-            some = set(own)
-            words += some
-            keys += [_copy_key(own)] * len(some)
-            toxic += [y] * len(some)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(keys, pa.int64()), pa.array(toxic, pa.int32())], names=["word", "key", "y"])
+        for part in slices(batch, "text", 4 << 20):
+            words = [fold(t or "").split() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(w) for w in words], pa.string()), pa.array([_copy_key(w) for w in words], pa.int64()), part.column("y")], names=["folded", "key", "y"])
 
 
 def pair_rows(terms):
+    """(term, pair, key, y): each lexicon word of a folded text with a neighbour, once a text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                words = fold(text or "").split()
-                key, pairs = _copy_key(words), set()
-                for i, w in enumerate(words):
-                    if w in terms.value:
-                        pairs |= {(w, " ".join(words[a:b])) for a, b in ((i - 1, i + 1), (i, i + 2)) if a >= 0 and b <= len(words)}
-                out += [(w, p, key, y) for w, p in pairs]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int32()))], names=["term", "pair", "key", "y"])
+            for part in slices(batch, "folded", 4 << 20):
+                out = []
+                for text, key, y in zip(*[part.column(c).to_pylist() for c in ("folded", "key", "y")], strict=True):
+                    words, pairs = text.split(), set()
+                    for i, w in enumerate(words):
+                        if w in terms.value:
+                            pairs |= {(w, " ".join(words[a:b])) for a, b in ((i - 1, i + 1), (i, i + 2)) if a >= 0 and b <= len(words)}
+                    out += [(w, p, key, y) for w, p in pairs]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int32()))], names=["term", "pair", "key", "y"])
 
     return run
 
 
 class Lexicon:
-    """Terms and exception phrases (term within phrase, weight taken back) as one automaton."""
+    """Terms, and exception phrases as (phrase, term in it), as one automaton. A phrase takes back the weights of all terms that it excepts."""
 
-    def __init__(self, terms: dict[str, float], exceptions: dict[str, str]):
+    def __init__(self, terms: dict[str, float], exceptions: list[tuple[str, str]]):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
         for word, weight in terms.items():
             self.automaton.add_word(f" {word} ", weight)
-        for phrase, word in exceptions.items():
-            self.automaton.add_word(f" {phrase} ", -terms[word])
+        back: dict[str, float] = {}
+        for phrase, word in sorted(exceptions):
+            back[phrase] = back.get(phrase, 0.0) - terms[word]
+        for phrase, weight in back.items():
+            self.automaton.add_word(f" {phrase} ", weight)
         if terms:
             self.automaton.make_automaton()
         self.some = bool(terms)
 
-    def features(self, text: str | None) -> tuple[float, int]:
-        """Sum of weights and number of words."""
-        folded = fold(text or "")
+    def features(self, folded: str) -> tuple[float, int]:
+        """Sum of weights and number of words of a folded text."""
         raw = sum(w for _, w in self.automaton.iter(folded)) if self.some else 0.0
         return max(0.0, raw), max(0, folded.count(" ") - 1)
 
 
-def feature_rows(model, text: str, keep: list[str]):
+def feature_rows(model, text: str, keep: list[str], is_folded: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model.value["terms"], model.value["exceptions"])
         for batch in batches:
             for part in slices(batch, text, 4 << 20):
-                got = [lexicon.features(t) for t in part.column(text).to_pylist()]
+                texts = part.column(text).to_pylist()
+                got = [lexicon.features((f" {t} " if t else " ") if is_folded else fold(t or "")) for t in texts]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())], names=[*keep, "weight", "n_folded"])
 
     return run
@@ -135,20 +143,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Null labels and ids are left out, a document with several labels has the highest."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y")).orderBy(F.xxhash64(F.lit(5), "i"), "i").limit(sample)
-    rows = written(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "i").select("text", "y"), "labelled")
-    words = rows.mapInArrow(word_rows, "word string, key long, y int").distinct()
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "i").select("text", "y")
+    rows = written(rows.mapInArrow(fold_rows, "folded string, key long, y int"), "labelled")
+    words = rows.select(F.explode(F.array_distinct(F.split("folded", " "))).alias("word"), "key", "y").where("word <> ''").distinct()
     counts = words.groupBy("word").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).where(F.col("pos") >= support)
-    size = {r.y: r.n for r in words.groupBy("y").agg(F.count_distinct("key").alias("n")).collect()}
+    size = {r.y: r.n for r in rows.where("folded <> ''").groupBy("y").agg(F.count_distinct("key").alias("n")).collect()}
     pos, neg = (F.col(c) + 0.5 for c in ("pos", "neg"))
     weight = F.log(pos / neg) - F.lit(float(np.log((size.get(1, 0) + 1) / (size.get(0, 0) + 1))))
     terms = {r.word: r.weight for r in counts.select("word", weight.alias("weight"), (weight / F.sqrt(1 / pos + 1 / neg)).alias("z")).where((F.col("weight") >= odds) & (F.col("z") >= sure)).toLocalIterator()}
-    model = {"terms": terms, "exceptions": {}}
+    model = {"terms": terms, "exceptions": []}
     spark = docs.sparkSession
     if terms:
         pairs = rows.mapInArrow(pair_rows(spark.sparkContext.broadcast(frozenset(terms))), "term string, pair string, key long, y int").distinct()
         pairs = pairs.groupBy("term", "pair").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).where("neg >= 4 and pos <= 0.1 * neg")
-        model["exceptions"] = {r.pair: r.term for r in pairs.toLocalIterator()}
-    got = rows.mapInArrow(feature_rows(spark.sparkContext.broadcast(model), "text", ["y"]), "y int, weight double, n_folded long").toPandas()
+        model["exceptions"] = sorted((r.pair, r.term) for r in pairs.toLocalIterator())
+    got = rows.mapInArrow(feature_rows(spark.sparkContext.broadcast(model), "folded", ["y"], True), "y int, weight double, n_folded long").toPandas()
     x, n, y = (got[c].to_numpy(dtype=float) for c in ("weight", "n_folded", "y"))
     fits = [(*logistic(np.sqrt(x) / np.maximum(n, 10) ** p, y), p) for p in (0.0, 0.125, 0.25, 0.5)]
     a, b, _, power = min(fits, key=lambda f: (f[2], f[3]))
@@ -173,6 +182,7 @@ def _sigmoid(x: Column) -> Column:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; rows whose crc32(doc_id as text) modulo 5 is 0 are held out. With a null doc_id held_out is null, and no label is its."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = train(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ BLOCKS = frozenset(
     "html body p div li ul ol dl dt dd h1 h2 h3 h4 h5 h6 article section header footer nav aside main table thead tbody tfoot tr td th caption form fieldset legend label select option optgroup button textarea blockquote pre figure figcaption address hr details summary dialog menu center iframe".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg math head title textarea iframe canvas object".split())
+HIDDEN = frozenset("script style noscript template head title textarea iframe".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 #: A start tag of these ends an open element of those.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -38,20 +39,95 @@ KINDS = {
     "text": "content article post entry story main body text articlebody maincontent prose",
 }
 KIND_OF = {word: kind for kind, words in KINDS.items() for word in words.split()}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-NAME = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A tag's name, what parts attributes, an attribute's name, the sign before a value, and a value without quotes.
+TAG_NAME, GAP, ATTRIBUTE, SIGN, BARE = (re.compile(x) for x in (r"[A-Za-z][^\s/>]*", r"[\s/]*", r"[^\s/>][^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
+#: Open elements at most; deeper ones take the place of the last.
+DEPTH = 512
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
+DIGIT = re.compile(r"\d")
+
+
+class Scanner:
+    """Texts and tags of a page from left to right, in time linear in its length.
+
+    Values in quotes may hold any character; a quote inside a value without quotes is part of it. A quote that is never
+    closed ends its tag at the next >. A tag or comment that the page cuts off is dropped; a < that begins no tag is text."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.raw_end = page, 0, {}
+        self.last = {c: page.rfind(c) for c in "<>'\""}
+
+    def find(self, c: str, at: int) -> int:
+        """The next c from at on, -1 if there is none; a miss costs nothing."""
+        return self.page.find(c, at) if at <= self.last[c] else -1
+
+    def skip_raw(self, tag: str) -> None:
+        """To the end tag of a script or the like; to the end of the page without one."""
+        found = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(self.page, self.at)
+        self.at = found.start() if found else len(self.page)
+
+    def __iter__(self) -> Iterator[tuple[str, str, bool, dict[str, str], bool]]:
+        """(text, tag, whether an end tag, attributes, whether closed in itself); either text or tag is empty."""
+        page, n = self.page, len(self.page)
+        while self.at < n:
+            at = self.find("<", self.at)
+            if at != self.at:
+                to = n if at < 0 else at
+                text, self.at = page[self.at : to], to
+                yield text, "", False, {}, False
+                continue
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 2) if at + 4 < n else -1
+                self.at = n if end < 0 else end + 3
+                continue
+            end_tag = page.startswith("/", at + 1)
+            name = TAG_NAME.match(page, at + 1 + end_tag)
+            if name:
+                attributes, closed = self._attributes(name.end())
+                if self.at <= n:
+                    yield "", name[0].lower(), end_tag, attributes, closed
+                continue
+            if page[at + 1 : at + 2] in ("!", "?", "/") and page[at + 1 : at + 2]:  # declarations and the like
+                end = self.find(">", at + 2)
+                self.at = n if end < 0 else end + 1
+                continue
+            self.at = at + 1
+            yield "<", "", False, {}, False
+
+    def _attributes(self, at: int) -> tuple[dict[str, str], bool]:
+        """Class, id and role of the tag whose attributes begin at `at`; self.at is behind the tag, beyond the page if it is cut off."""
+        page, n, begin, out = self.page, len(self.page), at, {}
+        while True:
+            gap = GAP.match(page, at)
+            at = gap.end()
+            if at >= n:
+                self.at = n + 1
+                return out, False
+            if page[at] == ">":
+                self.at = at + 1
+                return out, gap[0].endswith("/")
+            name = ATTRIBUTE.match(page, at)
+            at, value = name.end(), ""
+            sign = SIGN.match(page, at)
+            if sign:
+                at = sign.end()
+                quote = page[at : at + 1]
+                if quote in ("'", '"') and quote:
+                    end = self.find(quote, at + 1)
+                    if end < 0:
+                        end = self.find(">", begin)
+                        self.at = n + 1 if end < 0 else end + 1
+                        return out, False
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    value = BARE.match(page, at)[0]
+                    at += len(value)
+            if len(name[0]) < 6 and name[0].lower() in ("class", "id", "role"):
+                out.setdefault(name[0].lower(), value)
 
 
-def _kinds(attributes: str) -> set[str]:
-    out = set()
-    if "=" in attributes:
-        for m in NAME.finditer(attributes):
-            for part in PART.findall(m[1] or m[2] or m[3] or ""):
-                kind = KIND_OF.get(part.lower())
-                if kind:
-                    out.add("kind:" + kind)
-    return out
+def _kinds(attributes: dict[str, str]) -> set[str]:
+    return {"kind:" + KIND_OF[part] for value in attributes.values() for part in map(str.lower, PART.findall(value)) if part in KIND_OF}
 
 
 def blocks(page: str) -> list[tuple[str, frozenset, int, int]]:
@@ -59,6 +135,7 @@ def blocks(page: str) -> list[tuple[str, frozenset, int, int]]:
     out: list[tuple[str, frozenset, int, int]] = []
     stack: list[tuple[str, frozenset]] = [("", frozenset())]
     held: list[tuple[str, bool]] = []
+    open_tags: Counter[str] = Counter()
     links = hidden = 0
 
     def flush() -> None:
@@ -74,52 +151,48 @@ def blocks(page: str) -> list[tuple[str, frozenset, int, int]]:
     def pop(to: int) -> None:
         nonlocal links, hidden
         for tag, _ in stack[to:]:
+            open_tags[tag] -= 1
             links -= tag == "a"
             hidden -= tag in HIDDEN
         del stack[to:]
 
-    at, n = 0, len(page)
-    while at < n:
-        m = TAG.search(page, at)
-        if not m:
+    scanner = Scanner(page)
+    for text, tag, is_end, attributes, closed in scanner:
+        if not tag:
             if not hidden:
-                held.append((page[at:], links > 0))
-            break
-        if m.start() > at and not hidden:
-            held.append((page[at : m.start()], links > 0))
-        at = m.end()
-        if not m[2]:
+                held.append((text, links > 0))
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if tag in BLOCKS or any(t in BLOCKS for t, _ in stack[i:]):
-                        flush()
-                    pop(i)
-                    break
+        if is_end:
+            if open_tags[tag] > 0:
+                i = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag)
+                if any(t in BLOCKS for t, _ in stack[i:]):
+                    flush()
+                pop(i)
             continue
         if tag == "br":
             held.append((" ", False))
         if tag in BLOCKS:
             flush()
             closes = ENDS.get(tag, set()) | ({"p"} if tag not in ("label", "button") else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in closes:
-                    pop(i)
-                    break
-                if stack[i][0] in SCOPE or (stack[i][0] in BLOCKS and stack[i][0] != "p" and "p" in closes and len(closes) == 1):
-                    break
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
+            if any(open_tags[t] > 0 for t in closes):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] in closes:
+                        pop(i)
+                        break
+                    if stack[i][0] in SCOPE or (stack[i][0] in BLOCKS and stack[i][0] != "p" and "p" in closes and len(closes) == 1):
+                        break
+        if tag in VOID or (closed and tag not in BLOCKS):
             continue
-        if tag == "body" and any(t in HIDDEN for t, _ in stack):
+        if tag == "body" and hidden:
             pop(1)
-        stack.append((tag, stack[-1][1] | _kinds(m[3]) | ({"in:" + tag} if tag in BLOCKS else set())))
+        if len(stack) >= DEPTH:
+            pop(DEPTH - 1)
+        stack.append((tag, stack[-1][1] | _kinds(attributes) | ({"in:" + tag} if tag in BLOCKS else set())))
+        open_tags[tag] += 1
         links += tag == "a"
         hidden += tag in HIDDEN
         if tag in RAW:
-            end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
-            at = end.start() if end else n
+            scanner.skip_raw(tag)
     flush()
     return out
 
@@ -129,14 +202,14 @@ def features(block: tuple[str, frozenset, int, int], i: int, n: int) -> list[str
     share = linked / words
     out = [*around, f"words:{min(6, words.bit_length())}", f"links:{0 if not linked else 1 + int(share > 0.3) + int(share > 0.8)}", "end:" + ("stop" if text[-1] in ".!?…:\"'”»)" else "none")]
     out.append(f"place:{0 if i < 3 else 2 if i >= n - 3 else 1}")
-    low = text[:200].lower()
+    low = text.lower()
     if "©" in text or "copyright" in low or "rights reserved" in low:
         out.append("mark:copyright")
     if "·" in text:
         out.append("mark:dot")
     if "cookie" in low or "subscribe" in low or "newsletter" in low:
         out.append("mark:notice")
-    if sum(c.isdigit() for c in low) * 5 > len(low):
+    if len(DIGIT.findall(low)) * 5 > len(low):
         out.append("mark:digits")
     if "," in text:
         out.append("mark:comma")
@@ -190,7 +263,7 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[int]]]:
                 "form": ("form", ("login", "search", "signup")), "foot": (rng.choice(("footer", "footer", "div")), ("footer", "copyright", "legal")),
             }[kind]
             name = attr(*names)
-            if tag in ("div", "section", "ol") and not name:
+            if tag in ("div", "section", "ol") and not name and (kind != "notice" or rng.random() < 0.7):
                 name = f' class="{rng.choice(names)}"'
             out.append(f"<{tag}{name}>")
             for i in range(rng.randint(1, 4)):
@@ -199,6 +272,13 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[int]]]:
                     put(f"<div><a href='#'>{words(2, 7)}</a></div>", 0)
                 elif kind == "foot" and i == 0:
                     put(f"<p>&copy; {words(1, 2)} &middot; {sentence(2, 9)}</p>", 0)
+                elif kind == "notice" and rng.random() < 0.5:
+                    told = rng.choice(("cookie", "cookies", "subscribe", "newsletter"))
+                    put(f"<p>{words(1, 8)} {told} {sentence(2, 20)}</p>", 0)
+                elif kind == "foot" and rng.random() < 0.3:
+                    put(f"<p>{rng.randint(100, 999)} {rng.randint(1000, 9999)} {words(0, 1)}</p>", 0)
+                elif kind == "foot" and rng.random() < 0.2:
+                    put(f"<div>{sentence(5, 40)} {rng.choice(('Copyright', 'All rights reserved'))} {words(0, 3)}</div>", 0)
                 elif kind in ("comment", "ads", "notice") and rng.random() < 0.6:
                     put(f"<{inner}>{sentence(2, 30)}</{inner}>" if inner != "span" else f"<p><span>{sentence(2, 30)}</span></p>", 0)
                 elif inner == "span":
@@ -236,6 +316,8 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[int]]]:
                 out.append("</ul>")
             elif x < 0.2:
                 put(f"<pre>{words(3, 20)}</pre>", 1)
+            elif x < 0.22:
+                put(f"<p>{rng.randint(1, 9999)}, {sentence(1, 20)} {rng.randint(1, 99)}.</p>", 1)
             elif x < 0.3:
                 put(f"<p>{words(1, 6)}</p>", 1)
             elif x < 0.4:
@@ -359,7 +441,8 @@ def extract(pages: DataFrame, model: dict, html_col: str = "html", keep: tuple[s
     Character references are decoded, white space within a block becomes one space, blocks of the article are joined
     in page order by one newline. What is never shown (head, script, style, template) is no block.
 
-    Null and empty pages, and pages without an article, have an empty text. Unclosed and stray tags are allowed.
+    Null and empty pages, and pages without an article, have an empty text. Unclosed and stray tags are allowed; a tag that the page
+    cuts off is dropped. Time is linear in the page's length.
     Rows are judged alone, so repeated rows are alike; columns in keep named text or n_chars give way.
     """
     keep = [c for c in keep if c not in ("text", "n_chars")]
@@ -370,4 +453,5 @@ def extract(pages: DataFrame, model: dict, html_col: str = "html", keep: tuple[s
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
     return extract(table(spark, sf_dir, "pages"), train())

@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from logshape.operators.components import components
 
-from .common import row_key, table, written
+from .common import limit_batches, maybe_in, row_key, table, written
 from .hashing import SPACE_WORDS, Words, int64, mix, slices, whole_groups, windows
 
 #: A block holds about so many texts and so many shingles at most (a longer text is alone); so many first texts of it are compared with all others.
 HASHES, BATCH, BLOCK, MASS, HEADS = 256, 32, 2048, 1 << 19, 4
-#: Pairs compared at once.
-AT_ONCE = 1 << 15
+#: Pairs compared at once, and survivors of a group that are verified in one task's group.
+AT_ONCE, PART = 1 << 15, 4096
 #: A pair at the threshold differs in all bands with this probability at most; bands of more rows are taken up to so many hashes.
 BAND_MISS, BAND_HASHES = 1.2e-5, 150
 
@@ -263,9 +263,17 @@ def compare_apart(least: list[int], best_only: bool):
             if best_only:
                 yield best_of(rows, (rows.survivors(i, j, least, True) for i, j in apart(rows, True)), False)
                 continue
+            sent: dict[int, int] = {}
             for i, j in apart(rows, False):
                 i, j, same = rows.survivors(i, j, least, True)
-                yield pa.RecordBatch.from_arrays([pa.array(rows.k[i]), pa.array(rows.k[j]), pa.array(same), pa.array(rows.group[i])], names=["x", "y", "same", "t"])
+                # a group's survivors are verified in parts
+                group, part = rows.group[i], np.empty(len(i), dtype=np.int64)
+                for a, b in pairwise(_edges(group)):
+                    n = sent.get(int(group[a]), 0)
+                    part[a:b] = (n + np.arange(b - a)) // PART
+                    sent[int(group[a])] = n + b - a
+                t = int64(mix(group.view(np.uint64) + mix(part.view(np.uint64))))
+                yield pa.RecordBatch.from_arrays([pa.array(rows.k[i]), pa.array(rows.k[j]), pa.array(same), pa.array(t)], names=["x", "y", "same", "t"])
 
     return run
 
@@ -340,18 +348,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def labelled_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, miss: float) -> DataFrame:
     """(k, id, n, label, component_id) of each row of docs: its key, id and number of shingles, the component and its smallest id; label is null if n is 0."""
+    limit_batches(docs.sparkSession)
     n_bands, n_rows = banding(percent)
     keyed = docs.select(row_key(id_col, text_col).alias("__k"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     sig = written(keyed.mapInArrow(signatures("__text", size, n_bands, n_rows), "k long, id long, n long, s1 long, s2 long, bands array<long>, sig binary"), "signatures")
-    classes = written(sig.where("n > 0").groupBy("s1", "s2").agg(F.min("k").alias("rep"), F.min("id").alias("min_id")), "classes")
-    reps = sig.where("n > 0").select("k", "n", "bands", "sig").join(classes.select(F.col("rep").alias("k")), "k", "left_semi").dropDuplicates(["k"])
-    reps = written(reps, "representatives")
+    some = sig.where("n > 0")
+    classes = written(some.groupBy("s1", "s2").agg(F.min("k").alias("rep"), F.min("id").alias("min_id"), F.count("*").alias("rows")), "classes")
+    # one text of each class; rows that are alone in theirs are told by a bitmap, and need no join
+    several = classes.where("rows > 1").select("s1", "s2", "rep")
+    copies = written(some.select("k", "s1", "s2").join(several.select("s1", "s2"), ["s1", "s2"], "left_semi").select("k").distinct(), "keys-of-copies")
+    split = maybe_in(some.select("k", "n", "bands", "sig"), "k", copies)
+    known = split.where("__maybe").join(classes.select(F.col("rep").alias("k")), "k", "left_semi").dropDuplicates(["k"])
+    reps = written(split.where("not __maybe").unionAll(known).drop("__maybe"), "representatives")
     banded = reps.select("k", "n", F.posexplode("bands").alias("at", "b"))
     shared = written(banded.groupBy("b").agg(F.count("*").alias("m"), F.sum("n").alias("mass")).where("m > 1"), "shared-bands")
     members = written(banded.join(shared.select("b"), "b"), "members")
-    sigs = written(reps.select("k", "sig").join(members.select("k").distinct(), "k", "left_semi"), "candidate-signatures")
-    texts = keyed.select(F.col("__k").alias("k"), F.col("__text").alias("text")).join(sigs.select("k"), "k", "left_semi").dropDuplicates(["k"])
-    texts = written(texts, "candidate-texts")
+    candidates = written(members.select("k").distinct(), "candidates")
+    sigs = written(maybe_in(reps.select("k", "sig"), "k", candidates).where("__maybe").drop("__maybe").join(candidates, "k", "left_semi"), "candidate-signatures")
+    texts = maybe_in(keyed.select(F.col("__k").alias("k"), F.col("__text").alias("text")), "k", candidates).where("__maybe").drop("__maybe")
+    texts = written(texts.join(candidates, "k", "left_semi").dropDuplicates(["k"]), "candidate-texts")
     least = bounds(percent / 100, miss)
     kinds = "x long, y long, same int, t long"
     cuts = lambda m, mass: F.ceil(F.greatest(F.col(m) / BLOCK, F.col(mass) / MASS, F.lit(1)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table, written
+from .common import limit_batches, row_key, table, written
 from .hashing import ALNUM_WORDS, Words, int64, slices
 
 #: Test terms up to this number are broadcast to filter postings (8 MB); with more, all terms are indexed.
@@ -170,6 +170,7 @@ def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame, key: str, text_col: str, items: DataFrame | None) -> DataFrame:
     """The index of docs as a written table; items (item, words array<long>): None indexes all terms."""
     spark = docs.sparkSession
+    limit_batches(spark)
     vocabulary = None
     if items is not None:
         terms = items.select(F.explode("words").alias("term")).distinct()

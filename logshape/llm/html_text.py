@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import limit_batches, table
 from .hashing import slices
 
 BLOCKS = frozenset(
@@ -445,6 +445,7 @@ def extract(pages: DataFrame, model: dict, html_col: str = "html", keep: tuple[s
     cuts off is dropped. Time is linear in the page's length.
     Rows are judged alone, so repeated rows are alike; columns in keep named text or n_chars give way.
     """
+    limit_batches(pages.sparkSession)
     keep = [c for c in keep if c not in ("text", "n_chars")]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema], "text string"])
     source = pages.select(*keep, F.col(html_col).alias("__html"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import limit_batches, table
 from .hashing import LOWER, slices, text_bytes
 
 SLOTS = 1 << 16
@@ -98,6 +98,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     """A model from labelled rows: languages, log-probabilities (slot, language) and scripts allowed (script, language).
 
     At most about `sample` rows of each language are used, chosen by a hash of the id; the model has 2**16 slots a language."""
+    limit_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"), F.xxhash64(F.lit(3), F.col(id_col)).alias("__h"))
     sizes = {r["__lang"]: r["count"] for r in rows.groupBy("__lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import limit_batches, table, written
 from .hashing import SPACE_WORDS, Words, slices, windows
 
 ORDER, STRENGTH, SHARD_BYTES = 2, 300.0, 8 << 20
@@ -273,6 +273,7 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     8 MB of text or one longer text. Single tokens are told apart by 64 bits, longer n-grams by their bucket and 48 more.
     """
     spark = docs.sparkSession
+    limit_batches(spark)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("__train"), F.col(text_col).alias("__text"))
     shards = written(source.mapInArrow(shard_rows("__text", "id", "__train"), SHARD), "shards")
     total = shards.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import limit_batches, table, written
 from .hashing import SPACE_WORDS, Words, slices, text_bytes, windows
 
 #: Labelled rows that a list is fitted on.
@@ -80,6 +80,7 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
 
     Null and empty texts have zeros. Rows are judged alone; columns in keep that are named like a count give way.
     """
+    limit_batches(docs.sparkSession)
     keep_cols = [c for c in keep if c not in COUNTS]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(c) for c in keep_cols]).schema], *[f"{c} long" for c in COUNTS]])
     return docs.select(*[F.col(c) for c in keep_cols], F.col(text_col).alias("__text")).mapInArrow(statistics_rows("__text", keep_cols), schema)

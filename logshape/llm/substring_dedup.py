@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table, with_columns_replaced
+from .common import limit_batches, row_key, table, with_columns_replaced
 from .hashing import SECOND_BASE, SPACE_WORDS, Words, int64, mix, slices, whole_groups, windows
 
 #: Perfect difference sets: each non-zero residue is a difference of two members.
@@ -230,6 +230,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if window < 1:
         raise ValueError("window must be at least 1")
+    limit_batches(docs.sparkSession)
     docs = with_columns_replaced(docs, [c for c in ("n_words", "n_removed", "kept_text") if c not in (id_col, text_col)])
     keep = docs.columns
     keyed = docs.withColumn("__k", row_key(id_col, text_col))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import limit_batches, table, written
 from .hashing import slices
 
 #: Labelled rows that a model is fitted on.
@@ -170,6 +170,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     Null and empty texts match nothing and get the score of no match. Without labels of both kinds no term is
     known and all texts score alike. Rows are judged alone. Input columns of the results' names give way.
     """
+    limit_batches(docs.sparkSession)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("weight", "n_folded", "score")])
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "weight double, n_folded long"])
     got = docs.mapInArrow(feature_rows(docs.sparkSession.sparkContext.broadcast(model), text_col, docs.columns), schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, table, written
+from .common import limit_batches, scratch_dir, table, written
 
 LINES, DIRECTORY, LEVEL = 2000, 100_000, 5
 DATE = "2024-01-01T00:00:00Z"
@@ -134,6 +134,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     Of rows with equal payloads of least_bytes or more, those with the largest id are responses and the others
     revisits of it; shorter payloads are all responses. Null payloads are empty; a null id is below all others and its
     record's name is empty; a null url has the empty key. Rows that repeat get a record each."""
+    limit_batches(pages.sparkSession)
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), F.sha1(payload).alias("sha"), F.length(payload).alias("n"))
     equal = written(source.where(F.col("n") >= least_bytes).groupBy("sha", "n").agg(F.max("id").alias("top"), F.count("*").alias("m")).where("m > 1").select("sha", "n", "top"), "equal-payloads")

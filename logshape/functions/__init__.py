@@ -4,9 +4,12 @@ from .columns import (
     classify,
     dictionary_tokens,
     display,
+    equals_ignoring_case,
+    is_hex_digits,
     is_type,
     jaccard,
     let,
+    match_length,
     normalize,
     parsed,
     placeholder,
@@ -18,4 +21,4 @@ from .columns import (
     values_of,
 )
 
-__all__ = ["classify", "dictionary_tokens", "display", "is_type", "jaccard", "let", "normalize", "parsed", "placeholder", "register", "slots_of", "slots_of_key", "template_key", "tokens", "values_of"]
+__all__ = ["classify", "dictionary_tokens", "display", "equals_ignoring_case", "is_hex_digits", "is_type", "jaccard", "let", "match_length", "normalize", "parsed", "placeholder", "register", "slots_of", "slots_of_key", "template_key", "tokens", "values_of"]

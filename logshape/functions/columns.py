@@ -64,6 +64,30 @@ def is_type(token: str | Column, kind: str) -> Column:
     return F.lit(False) if out is None else out
 
 
+def match_length(token: str | Column, kind: str) -> Column:
+    """Characters of the longest prefix of a token that has a form, 0 for none: NUM, HEX, IPV4 (with port or mask), IPV6 (with mask), TIME, PATH, ID (with hyphens), ARRAY or ZONE (what follows an IPv6 address)."""
+    token = _col(token)
+    if kind == "PATH":  # the whole token or nothing
+        return F.when(_matches(token, r"^(?:/[\s\S]|\./)|:/") & (F.length(token) >= 2), F.length(token)).otherwise(0)
+    if kind == "ZONE":
+        return F.when(_matches(token, r"^%[^ \t]*\z"), F.length(token)).otherwise(0)
+    found = F.regexp_extract(token, P.PREFIXES[kind], 0)
+    if kind == "TIME":
+        digits = F.length(F.regexp_replace(found, "[^0-9]", ""))
+        return F.when((F.length(token) >= 8) & (digits >= 6) & (F.length(found) - digits >= 2), F.length(found)).otherwise(0)
+    return F.length(found)
+
+
+def is_hex_digits(token: str | Column) -> Column:
+    """Whether a text has no other characters than hexadecimal digits; true for an empty one."""
+    return _matches(_col(token), r"^[0-9a-fA-F]*\z")
+
+
+def equals_ignoring_case(token: str | Column, word: str) -> Column:
+    """Whether a text equals a lower-case word but for the case of A-Z."""
+    return F.translate(_col(token), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") == word
+
+
 def placeholder(kind: str | Column) -> Column:
     kind = _col(kind)
     return F.when(kind == "LIT", "").otherwise(F.concat(F.lit("<"), kind, F.lit(">")))
@@ -143,9 +167,12 @@ def jaccard(a: str | Column, b: str | Column) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """Temporary SQL functions ls_tokens, ls_classify and ls_dictionary_tokens, which are expanded into native expressions."""
+    """Temporary SQL functions ls_tokens, ls_classify, ls_placeholder, ls_is_hex_digits, ls_jaccard and ls_dictionary_tokens, which are expanded into native expressions."""
     q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     whens = " ".join(f"WHEN t RLIKE {q(p)} THEN '{k}'" for k, p in P.CLASSES)
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION ls_tokens(l STRING) RETURNS ARRAY<STRING> RETURN regexp_extract_all(l, {q(P.TOKEN)}, 0)")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION ls_classify(t STRING) RETURNS STRING RETURN CASE {whens} ELSE 'LIT' END")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION ls_placeholder(t STRING) RETURNS STRING RETURN CASE t WHEN 'LIT' THEN '' ELSE concat('<', t, '>') END")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION ls_is_hex_digits(t STRING) RETURNS BOOLEAN RETURN t RLIKE '^[0-9a-fA-F]*\\\\z'")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION ls_jaccard(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS DOUBLE RETURN CASE WHEN size(a) = 0 OR size(b) = 0 THEN 0D ELSE size(array_intersect(a, b)) / size(array_union(a, b)) END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION ls_dictionary_tokens(l STRING) RETURNS ARRAY<STRING> RETURN filter(split(l, '[ \\\\t\\\\r\\\\n]+'), x -> x <> '')")

@@ -6,7 +6,7 @@ does not use up the stack. Nested brackets are matched to LEVELS levels.
 
 from __future__ import annotations
 
-LEVELS = 7
+LEVELS = 24
 #: One-character tokens, and those that displays leave out.
 DELIMITERS = '=;<>(){},"'
 SKIPPED = ('"', ";", ",", "=", "<", ">", "(", ")", "{", "}", "|", "/")
@@ -34,6 +34,16 @@ ARRAY = rf"\[\]|\[[^\[\],0-9]*+[,0-9][^\[\]]*+\]|\[[^\[\]]*+(?:{balanced(LEVELS
 
 #: Tokens of a line: a delimiter, a bracketed text, an unclosed bracket to the end of the line, or a run.
 TOKEN = rf'[=;<>(){{}},"]|{balanced(LEVELS)}|\[[^\n]*|[^ \t\r\n=;<>(){{}},"\[][^ \t\r\n=;<>(){{}},"]*'
+#: Prefixes of a token that have a form, for match_length; a timestamp and a path are told by more than a prefix.
+PREFIXES = {
+    "NUM": r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)",
+    "HEX": rf"^0[xX]{_HEX}+",
+    "IPV4": rf"^{V4}(?![0-9])(?:/[0-9]{{1,3}}|:[0-9]{{1,5}})?",
+    "IPV6": rf"^{V6}(?:/[0-9]{{1,4}})?",
+    "TIME": r"^[0-9:TZ.\-]+",
+    "ID": rf"^{_HEX}{{8}}(?:-{_HEX}{{4}}){{3}}-{_HEX}{{12}}",
+    "ARRAY": rf"^{balanced(LEVELS)}",
+}
 #: Values inside a literal.
 SCAN = rf"{V4}(?![0-9])(?:/[0-9]{{1,3}}|:[0-9]{{1,5}})?|(?<![A-Za-z]){V6}(?:/[0-9]{{1,4}})?|0[xX]{_HEX}+|{ARRAY}"
 #: A literal that could hold a value.

@@ -17,7 +17,7 @@ def analyse_lines(lines: DataFrame, files: list[str], config: Config) -> Result:
     """Lines are (file_id, line_no, line). Each line is parsed once: the parsed table is written, and counts are taken from it.
 
     token_count: distinct strings of slots and values before merging. template_count: templates ever made, those that merged and the
-    merged ones alike."""
+    merged ones alike. min_freq is held against a template's count in all files together."""
     began = time.time()
     parsed = written(stats.parse(exclude(lines, config.exclude)), "parsed")
     unmerged = written(stats.template_stats(parsed), "templates")
@@ -25,7 +25,8 @@ def analyse_lines(lines: DataFrame, files: list[str], config: Config) -> Result:
     mapping = written(cluster.merge_map(unmerged), "merged")
     templates = written(cluster.merge(unmerged, mapping), "templates-merged")
     if config.min_freq > 1:
-        templates = templates.where(F.col("cnt") >= config.min_freq)
+        often = templates.groupBy("key").agg(F.sum("cnt").alias("n")).where(F.col("n") >= config.min_freq)
+        templates = templates.join(often.select("key"), "key", "left_semi").select("file_id", "key", "cnt", "first_line")
     before = unmerged.select("key").distinct()
     made = mapping.select(F.col("canonical").alias("key")).distinct().join(before, "key", "left_anti").count()
     return Result(files, stats.file_stats(lines), parsed, templates, values, unmerged, mapping, stats.interned(parsed).count(), before.count() + made, mapping.count(), time.time() - began)

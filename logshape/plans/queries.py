@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logshape.functions import classify, dictionary_tokens, display, slots_of_key, tokens
+from logshape.functions import classify, dictionary_tokens, display, match_length, normalize, slots_of_key, tokens
 from logshape.functions import patterns as P
 from logshape.operators import cluster, dictionary, diff, stats
 from logshape.plans.scratch import scratch_dir, written
@@ -321,8 +321,6 @@ def template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with("doc_log") + "SELECT md5(lit) AS literal_md5, count(*) AS n FROM (SELECT lit FROM pt WHERE type = 'LIT' AND len(vals) > 0) GROUP BY lit")
 def normalized_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Literals with values in them: how many distinct tokens give each."""
-    from logshape.functions import normalize
-
     each = stats.token_counts(doc_log(spark, sf_dir)).where(classify("token") == "LIT").select(normalize("token").alias("n"))
     return each.where(F.size("n.vals") > 0).groupBy("n.lit").agg(F.count("*").alias("n")).select(F.md5(F.col("lit").cast("binary")).alias("literal_md5"), "n")
 
@@ -336,3 +334,80 @@ def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dictionary_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = doc_log(spark, sf_dir).select(F.size(dictionary_tokens("line")).alias("n"))
     return n.agg(F.count(F.when(F.col("n") > 0, 1)).alias("lines"), F.sum("n").alias("n_tokens"))
+
+
+# --- stated results, without the patterns of the engine -----------------------------------------------------------
+
+#: Tokens and their types, from the rules of the classifier.
+TOKEN_TYPES = [
+    ("", "LIT"), ("x", "LIT"), ("Yes", "BOOL"), ("NO", "BOOL"), ("true", "BOOL"), ("FALSE", "BOOL"), ("Positive", "BOOL"), ("negative", "BOOL"), ("maybe", "LIT"), ("nil", "PTR"), ("Null", "PTR"), ("NONE", "PTR"), ("nullptr", "PTR"), ("nullptr_t", "LIT"),
+    ("7", "NUM"), ("007", "NUM"), ("3.25", "NUM"), ("3.", "NUM"), ("+3", "NUM"), ("-.25", "NUM"), (".25", "LIT"), ("-", "LIT"), ("+x", "LIT"), ("3e5", "LIT"), ("1.2.3", "LIT"), ("12ms", "LIT"), ("1234567", "NUM"), ("12345678", "HEX"),
+    ("0x", "LIT"), ("0x1f", "HEX"), ("0XAB", "HEX"), ("0x1g", "LIT"), ("cafebab", "LIT"), ("cafebabe", "HEX"), ("CAFEBABE0", "HEX"), ("cafebabeg", "LIT"), ("f" * 31, "HEX"), ("f" * 32, "ID"), ("0" * 40, "ID"), ("g" * 32, "LIT"),
+    ("12345678-abcd-ef01-2345-6789abcdef01", "ID"), ("a2345678-abcd-ef01-2345-6789abcdef01", "LIT"), ("12345678-abcd-ef01-2345-6789abcdef0", "LIT"), ("12345678-1234-1234-1234-123456789012", "ID"), ("12345678-1234-1234-1234-12345678901", "TIME"),
+    ("1.2.3.4", "IP"), ("300.1.1.1", "IP"), ("1.2.3.4:80", "IP"), ("1.2.3.4:65535", "IP"), ("1.2.3.4:655350", "TIME"), ("1.2.3.4/24", "PREFIX"), ("1.2.3.4/2444", "LIT"), ("1.2.3.4444", "TIME"), ("1.2.3.4.5", "LIT"), ("1.2.3.4x", "LIT"), ("1.2.3.4:", "LIT"),
+    ("::", "IP"), ("::1", "IP"), ("1::", "IP"), ("fe80::1", "IP"), ("FE80::A:b", "IP"), ("2001:db8:0:0:0:0:0:1", "IP"), ("2001:db8:0:0:0:0:1", "LIT"), ("1:2:3:4:5:6:7:8:9", "TIME"), ("1::2::3", "LIT"), ("12345::1", "TIME"), ("fe80::1:", "IP"), (":1::", "LIT"),
+    ("fe80::/64", "PREFIX"), ("::/0", "PREFIX"), ("fe80::/12345", "LIT"), ("fe80::1%eth0", "IP"), ("fe80::1%", "IP"), ("fe80::1/64%eth0", "PREFIX"), ("::1%lo", "LIT"), ("1::%x", "IP"), ("g::1", "LIT"), ("Queue::add", "LIT"), ("a::b", "IP"), ("add::face", "IP"), ("abc::xyz", "LIT"),
+    ("2024-06-30", "TIME"), ("2024-06-30T12:00:00.123Z", "TIME"), ("23:59:59", "TIME"), ("23:59:5", "LIT"), ("1:2:3:4:5:6", "TIME"), ("20240630", "HEX"), ("2024-0630", "LIT"), ("1-2-3-4-5-6", "TIME"), ("2024-06-30x", "LIT"),
+    ("/", "LIT"), ("/a", "PATH"), ("/a b", "PATH"), ("./a", "PATH"), ("../a", "LIT"), ("./", "PATH"), (".", "LIT"), (".x:/y", "PATH"), ("http://h/p", "LIT"), ("C:/x", "LIT"),
+    ("[]", "ARRAY"), ("[1]", "ARRAY"), ("[a]", "LIT"), ("[a,b]", "ARRAY"), ("[[]]", "ARRAY"), ("[[a]", "LIT"), ("[1]]", "LIT"), ("[1]x", "LIT"), ("[" * 9 + "]" * 9, "ARRAY"), ("[" * 20 + "x" + "]" * 20, "ARRAY"), ("[a b]", "LIT"), ("[a 1]", "ARRAY"),
+]
+#: Tokens, a form, and the characters of the longest prefix that has it.
+MATCHED = [
+    ("12ab", "NUM", 2), ("-1.5.2", "NUM", 4), (".5x", "NUM", 2), ("+.", "NUM", 0), ("", "NUM", 0), ("x1", "NUM", 0), ("1.", "NUM", 2), ("0x1fg", "HEX", 4), ("0x", "HEX", 0), ("1x1", "HEX", 0), ("0Xa", "HEX", 3),
+    ("1.2.3.4rest", "IPV4", 7), ("1.2.3.4/", "IPV4", 7), ("1.2.3.4/16/", "IPV4", 10), ("1.2.3.4/1234", "IPV4", 11), ("1.2.3.4:123456", "IPV4", 13), ("1.2.3.4567", "IPV4", 0), ("1.2.3", "IPV4", 0), ("1.2.3.4.5", "IPV4", 7), ("1..2.3", "IPV4", 0),
+    ("::", "IPV6", 2), ("::1/64", "IPV6", 6), ("fe80::1%eth0", "IPV6", 7), ("::/12345", "IPV6", 7), ("1:2:3:4:5:6:7:8", "IPV6", 15), ("1:2:3", "IPV6", 0), ("1::2::", "IPV6", 0), ("fe80::1:", "IPV6", 8), ("12345::", "IPV6", 0), ("::1x", "IPV6", 3), ("x::1", "IPV6", 0),
+    ("2024-01-02 x", "TIME", 10), ("12:34:56", "TIME", 8), ("12:34:5", "TIME", 0), ("20240102", "TIME", 0), ("1-2-3-4-5-6Z!", "TIME", 12), ("/a b", "PATH", 4), ("/", "PATH", 0), ("a:/b", "PATH", 4), ("./", "PATH", 2), ("a/b", "PATH", 0),
+    ("12345678-abcd-ef01-2345-6789abcdef01zz", "ID", 36), ("12345678-abcd-ef01-2345-6789abcdef0", "ID", 0), ("[1][2]", "ARRAY", 3), ("[[x]]y", "ARRAY", 5), ("[", "ARRAY", 0), ("[[1]", "ARRAY", 0), ("%eth0", "ZONE", 5), ("%", "ZONE", 1), ("eth0", "ZONE", 0), ("%a b", "ZONE", 0),
+]
+#: Literals, what is left with placeholders, and the values in order.
+NORMALISED = [
+    ("plain", "plain", []), ("v1", "v1", []), ("user:5", "user:<NUM>", ["5"]), ("5:user", "5:user", []), ("a:b", "a:b", []), ("a:b:7", "a:b:<NUM>", ["7"]), ("k:true", "k:<BOOL>", ["true"]), ("k9:true", "k9:<BOOL>", ["true"]), ("id:cafebabe", "id:<HEX>", ["cafebabe"]),
+    ("at1.2.3.4and5.6.7.8:99", "at1.2.3.4and5.6.7.8:<NUM>", ["99"]), ("at1.2.3.4and5.6.7.8!", "at<IP>and<IP>!", ["1.2.3.4", "5.6.7.8"]), ("net1.2.3.4/16x", "net<PREFIX>x", ["1.2.3.4/16"]), ("x[1]y[2,3]", "x<ARRAY>y<ARRAY>", ["[1]", "[2,3]"]), ("x[a]", "x[a]", []), ("p0xfeg", "p<HEX>g", ["0xfe"]),
+    ("(::1)", "(<IP>)", ["::1"]), ("_fe80::1/64_", "_<PREFIX>_", ["fe80::1/64"]), ("ns::1", "ns::<NUM>", ["1"]), ("ns::x", "ns::x", []), ("-2001:db8::9-", "-<IP>-", ["2001:db8::9"]), ("ftp://h", "ftp:<PATH>", ["//h"]), ("1.2.3.4.5", "<IP>.5", ["1.2.3.4"]), ("[x]0x1", "[x]<HEX>", ["0x1"]),
+]
+_q = lambda s: "'" + s.replace("'", "''") + "'"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({_q(t)}, {_q(k)})" for t, k in TOKEN_TYPES) + ") v(token, type)")
+def classifier_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types of stated tokens; the SQL has the results themselves."""
+    return spark.createDataFrame(TOKEN_TYPES, "token string, stated string").select("token", classify("token").alias("type"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({_q(t)}, {_q(k)}, {n})" for t, k, n in MATCHED) + ") v(token, form, length)")
+def matchers_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix lengths of stated tokens; the SQL has the results themselves."""
+    out = None
+    for kind in dict.fromkeys(k for _, k, _ in MATCHED):
+        own = spark.createDataFrame([r[:2] for r in MATCHED if r[1] == kind], "token string, form string").withColumn("length", match_length("token", kind))
+        out = own if out is None else out.unionAll(own)
+    return out
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({_q(t)}, {_q(n)}, {_q('|'.join(v))})" for t, n, v in NORMALISED) + ") v(token, literal, found)")
+def literals_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated literals with placeholders, and the values found in them; the SQL has the results themselves."""
+    each = spark.createDataFrame([(t,) for t, _, _ in NORMALISED], "token string").withColumn("n", normalize("token"))
+    return each.select("token", F.col("n.lit").alias("literal"), F.array_join("n.vals.value", "|").alias("found"))
+
+
+_MERGED = SQL["merge_templates"].rpartition("SELECT file_id, md5(key)")[0] + ", z AS (SELECT file_id, key, sum(cnt)::BIGINT AS cnt, min(first_line) AS first_line FROM n GROUP BY file_id, key), "
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = written(_templates(spark, sf_dir), "templates")
+    return written(cluster.merge(templates, cluster.merge_map(templates)), "templates-merged")
+
+
+@query(_MERGED + "p AS (SELECT key, count(*) AS n_files, min(file_id) AS low, sum(cnt)::BIGINT AS cnt FROM z GROUP BY key) SELECT md5(key) AS key_md5, n_files, CASE WHEN n_files = 1 THEN low END AS only_file, cnt FROM p, nf WHERE n_files = n OR n_files = 1")
+def merged_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After merging: templates that all files have or only one."""
+    merged, n = _merged(spark, sf_dir), _n_files(spark, sf_dir, "events", "event_type")
+    both = diff.common(merged, "key", n).unionAll(diff.unique(merged, "key", n))
+    return both.select(_md5("key").alias("key_md5"), "n_files", "only_file", "cnt")
+
+
+@query(_MERGED + "a AS (SELECT key, sum(cnt)::BIGINT AS cnt, min(first_line) AS first_line FROM z GROUP BY key) SELECT md5(key) AS key_md5, cnt, first_line FROM a ORDER BY cnt DESC, first_line, key LIMIT 20")
+def merged_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After merging: the most frequent templates."""
+    return stats.top_templates(_all_files(_merged(spark, sf_dir)), 20).select(_md5("key").alias("key_md5"), "cnt", "first_line")

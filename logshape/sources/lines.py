@@ -48,13 +48,16 @@ def exclude(lines: DataFrame, substrings: list[str]) -> DataFrame:
     return lines if not substrings else lines.where(~reduce(or_, [F.col("line").contains(x) for x in substrings]))
 
 
-def lines_of(df: DataFrame, file_id: str | Column, line_no: str | Column, line: str | Column) -> DataFrame:
-    """Any table as lines; null lines are left out."""
-    c = lambda x: F.col(x) if isinstance(x, str) else x
-    return df.select(c(file_id).alias("file_id"), c(line_no).cast("long").alias("line_no"), c(line).alias("line")).where(F.col("line").isNotNull())
-
-
-def split_lines(df: DataFrame, file_id: str | Column, text: str | Column, *order: str) -> DataFrame:
-    """Texts split at \\n into lines; a line's number is its text's rank (by the order columns) and its place in it: order columns are kept with pos."""
-    c = lambda x: F.col(x) if isinstance(x, str) else x
-    return df.select(c(file_id).alias("file_id"), *order, F.posexplode(F.split(c(text), "\n", -1)).alias("pos", "line"))
+def ends_with_newline(spark: SparkSession, path: str) -> bool:
+    """Whether the last byte of a file is a line end; true for an empty one. One byte is read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getFileStatus(p).getLen()
+    if size == 0:
+        return True
+    f = fs.open(p)
+    try:
+        f.seek(size - 1)
+        return f.read() in (10, 13)
+    finally:
+        f.close()

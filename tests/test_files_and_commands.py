@@ -15,6 +15,7 @@ from logshape.operators import dictionary
 from logshape.plans.config import Config
 from logshape.plans.extract import analyse
 from logshape.plans.report import json_report, text_report
+from logshape.plans.scratch import scratch_dir
 from logshape.sources.binary_file import read_binary, write_binary
 from logshape.sources.lines import read_lines
 from logshape.streaming.templates import read_stream, template_counts
@@ -116,9 +117,56 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.main([str(tmp_path / "none")], spark) == 1 and cli.main(["--nonsense"], spark) == 1 and cli.main(["-h"], spark) == 1
     capsys.readouterr()
     assert cli.main(["bench", "tokens", str(a)], spark) == 0 and "Tokens: 3" in capsys.readouterr().out
+    for text, n in (("a\n\nb", 2), ("a\r\nb\rc\n", 3), ("", 0), ("a", 0)):  # line ends are counted
+        b.write_bytes(text.encode())
+        assert cli.main(["bench", "tokens", str(b)], spark) == 0 and f"Lines: {n}\n" in capsys.readouterr().out
+    assert cli.main(["encode", str(a), "/proc/none/enc"], spark) == 1 and "logshape:" in capsys.readouterr().err
+    (tmp_path / "enc" / "dictionary").mkdir(parents=True)
+    (tmp_path / "enc" / "lines").mkdir()
+    (tmp_path / "enc" / "dictionary" / "x.parquet").write_bytes(b"no table")
+    (tmp_path / "enc" / "lines" / "x.parquet").write_bytes(b"no table")
+    assert cli.main(["decode", str(tmp_path / "enc"), str(tmp_path / "o")], spark) == 1
     assert cli.main(["bench", "templates", str(a)], spark) == 0
 
 
+def test_groups(spark, tmp_path, capsys):
+    for name, text in (("a", "both w\nleft x\n"), ("b", "both w\nleft x\n"), ("c", "both w\nright y\n")):
+        (tmp_path / name).write_text(text)
+    files = [str(tmp_path / x) for x in "abc"]
+    assert cli.main([*files, "--groups", "0,1:2"], spark) == 0
+    out = capsys.readouterr().out
+    assert "templates only in group A: 1" in out and "templates only in group B: 1" in out and "templates in both groups: 1" in out
+    assert cli.main([*files, "--groups", "0,1:2", "--json"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["groups_templates"]["a_only"] == {"total": 1, "shown": ["left x"]}
+    assert cli.main([*files, "--groups", "0:0"], spark) == 1 and cli.main([*files, "--groups", "x"], spark) == 1 and cli.main([*files, "--groups", "0:7"], spark) == 1
+
+
+def test_hot_tokens(spark, monkeypatch):
+    """Tokens that are joined from a broadcast, and those that are not, come back alike."""
+    lines = spark.createDataFrame([(0, i, f"the w{i} the") for i in range(50)] + [(0, 60, None), (0, 61, "")], "file_id int, line_no long, line string")
+    for hot in (1, 3, 20_000):
+        monkeypatch.setattr(dictionary, "HOT", hot)
+        assert sorted(r.line for r in dictionary.round_trip(lines).collect()) == sorted(f"the w{i} the" for i in range(50))
+    words, coded = dictionary.encode(lines)
+    size = dictionary.sizes(lines).first()
+    assert dictionary.sizes_of(words, coded, size.original_size).first() == size
+
+
+def test_shared_folder(spark):
+    class Other:
+        conf = {}
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+    with pytest.raises(ValueError):
+        scratch_dir(Other())
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.log").write_text("job 1 done\njob 2 done\n\nother\n")

@@ -3,11 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from logshape.functions import classify, display, is_type, normalize, slots_of, slots_of_key, template_key, tokens
+from logshape.functions import classify, display, equals_ignoring_case, is_hex_digits, is_type, normalize, register, slots_of, slots_of_key, template_key, tokens
+from logshape.functions import patterns as P
 from logshape.operators import cluster, diff, stats
 from logshape.plans.config import Config
 from logshape.plans.extract import analyse, analyse_lines
 
+# Lines, and the numbers of templates and tokens and the display that they must give.
 CASES = {
     "identical": (["hello world"] * 3, 1, 2, "hello world"),
     "numbers": (["error code 100", "error code 200", "error code 300"], 1, 5, "error code <NUM>"),
@@ -78,6 +80,34 @@ def test_classifier_vectors(spark):
     assert [(r.t, r.g) for r in got if r.g != r.k] == []
 
 
+def test_a_line_is_parsed_once(spark):
+    """The tokeniser's pattern stands once in the optimized plans of parsed lines, and of counts taken from them."""
+    lines = spark.range(5).select(F.lit(0).alias("file_id"), F.col("id").alias("line_no"), F.concat(F.lit("a "), F.col("id").cast("string")).alias("line")).repartition(2)
+    parsed = stats.parse(lines)
+    for df in (stats.template_stats(parsed), stats.var_stats(parsed), stats.value_distribution(parsed)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(P.TOKEN[:12]) == 1
+    df = spark.createDataFrame([(0, 0, "a 1"), (0, 1, " \t"), (0, 2, None), (0, 3, ""), (0, 4, "[")], "file_id int, line_no long, line string")
+    assert {r.line_no for r in stats.parse(df).collect()} == {0, 4}
+
+
+def test_sql_functions(spark):
+    register(spark)
+    got = spark.sql("SELECT ls_tokens('a=1 [2, 3]') AS t, ls_dictionary_tokens(' a  b ') AS d, ls_classify('1.2.3.4') AS c, ls_placeholder('NUM') AS p, ls_placeholder('LIT') AS q, ls_is_hex_digits('aF0') AS h, ls_is_hex_digits('g') AS g, ls_jaccard(array('a', 'b'), array('b')) AS j").first()
+    assert (got.t, got.d, got.c, got.p, got.q, got.h, got.g, got.j) == (["a", "=", "1", "[2, 3]"], ["a", "b"], "IP", "<NUM>", "", True, False, 0.5)
+
+
+def test_words_without_case(spark):
+    df = spark.createDataFrame([("TrUe",), ("true",), ("truе",), (None,)], "t string")
+    assert [r.g for r in df.select(equals_ignoring_case("t", "true").alias("g")).collect()] == [True, True, False, None]
+    assert [r.g for r in spark.createDataFrame([("",), ("aF9",), ("x",)], "t string").select(is_hex_digits("t").alias("g")).collect()] == [True, True, False]
+
+
+def test_least_frequency_is_that_of_all_files(spark):
+    r = _analyse(spark, ["one x", "two y y"], ["one x", "three z z z"], min_freq=2)
+    assert {(x.file_id, x.template) for x in stats.with_display(r.templates).collect()} == {(0, "one x"), (1, "one x")}
+
+
 def test_matchers(spark):
     rows = [("NUM", ".5", True), ("NUM", "5.", True), ("NUM", "1e5", False), ("ID", "a1b2c3d4-e29b-41d4-a716-446655440000", True), ("PATH", "C:/foo", True), ("PATH", "/", False), ("HEX", "0x", False), ("HEX", "1234567", False), ("IP", "::1%eth0", True), ("BOOL", "maybe", False)]
     df = spark.createDataFrame(rows, "k string, t string, e boolean")

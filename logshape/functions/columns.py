@@ -34,17 +34,32 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: What a token must contain to match a pattern of the classifier; a search for it is far cheaper than the pattern.
+_NEEDS = {"PREFIX": "/", "PATH": "/", "ARRAY": "["}
+
+
+def _needs(kind: str, pattern: str) -> str | None:
+    return ":" if P.V6 in pattern else "." if P.V4 in pattern else "-" if kind == "ID" and "}-" in pattern else _NEEDS.get(kind)
+
+
 def classify(token: str | Column) -> Column:
-    """The type of a token; LIT for a literal. Most words are decided by one or two short patterns."""
+    """The type of a token; LIT for a literal. Most tokens are decided by their length, or by one or two short patterns."""
     token = _col(token)
-    word = rest = None
+    word = rest = plain = None
     for kind, pattern in P.CLASSES:
-        test = _matches(token, pattern)
+        need, test = _needs(kind, pattern), _matches(token, pattern)
         if kind in ("BOOL", "PTR"):
             word = F.when(test, kind) if word is None else word.when(test, kind)
+            continue
+        if need is None and kind != "TIME":  # without these signs nothing else comes into question
+            plain = F.when(test, kind) if plain is None else plain.when(test, kind)
+        test = test if need is None else token.contains(need) & test
         rest = F.when(test, kind) if rest is None else rest.when(test, kind)
-    # no type but BOOL and PTR begins with another character than these; no type but these two and PATH is of letters, not all hexadecimal
-    return F.when(_matches(token, P.WORD), F.when(F.length(token) <= 8, word.otherwise("LIT")).otherwise("LIT")).when(_matches(token, P.FIRST), rest.otherwise("LIT")).otherwise("LIT")
+    signs = token.contains(":") | token.contains(".") | token.contains("-") | token.contains("/") | token.contains("[")
+    other = F.when(_matches(token, P.SHORT_NUMBER), "NUM").when(~_matches(token, P.FIRST), "LIT").when(signs, rest.otherwise("LIT")).otherwise(plain.otherwise("LIT"))
+    one = F.when((token >= "0") & (token <= "9"), "NUM").otherwise("LIT")
+    # no type but BOOL and PTR begins with another character than those of FIRST, or is of letters that are not all hexadecimal
+    return F.when(F.length(token) <= 1, one).when(_matches(token, P.WORD), F.when(F.length(token) <= 8, word.otherwise("LIT")).otherwise("LIT")).otherwise(F.coalesce(other, F.lit("LIT")))
 
 
 def is_type(token: str | Column, kind: str) -> Column:
@@ -115,8 +130,8 @@ def _normal(token: Column) -> Column:
             F.transform(found, lambda x: F.struct(_scan_type(x).alias("type"), x.alias("value"))).alias("vals"),
         ),
     )
-    plain = F.struct(F.lit("LIT").alias("type"), token.alias("lit"), F.slice(F.array(F.struct(F.lit("").alias("type"), token.alias("value"))), 1, 0).alias("vals"))
-    return F.when(~_matches(token, P.MAYBE), plain).when(token.contains(":"), F.coalesce(pair, many)).otherwise(many)
+    plain = F.struct(F.lit("LIT").alias("type"), token.alias("lit"), F.array().cast("array<struct<type:string,value:string>>").alias("vals"))
+    return F.when((F.length(token) <= 1) | ~_matches(token, P.MAYBE), plain).when(token.contains(":"), F.coalesce(pair, many)).otherwise(many)
 
 
 def normalize(token: str | Column) -> Column:
@@ -143,7 +158,7 @@ def values_of(parts: str | Column) -> Column:
 
 def template_key(slots: str | Column) -> Column:
     """A string that two slot sequences share only if they are equal. The separators U+0001 and U+0002 are escaped inside literals."""
-    safe = lambda x: F.when(_matches(x, "[\u0001\u0002]"), F.replace(F.replace(x, F.lit("\u0002"), F.lit("\u0002b")), F.lit("\u0001"), F.lit("\u0002a"))).otherwise(x)
+    safe = lambda x: F.when(x.contains("\u0001") | x.contains("\u0002"), F.replace(F.replace(x, F.lit("\u0002"), F.lit("\u0002b")), F.lit("\u0001"), F.lit("\u0002a"))).otherwise(x)
     return F.array_join(F.transform(_col(slots), lambda s: F.when(s["type"] == "LIT", F.concat(F.lit("L"), safe(s["lit"]))).otherwise(F.concat(F.lit("V"), s["type"]))), "\u0001")
 
 

@@ -71,5 +71,7 @@ CLASSES = (
 )
 #: A word with a letter that is not hexadecimal and without what other types need: BOOL, PTR or a literal.
 WORD = r"^[^0-9:\[/.+\-g-zG-Z]*[g-zG-Z][^0-9:\[/.+\-]*\z"
+#: Digits that are too few for another type.
+SHORT_NUMBER = r"^[0-9]{1,7}\z"
 #: First characters of all types but BOOL and PTR.
 FIRST = r"^[A-Fa-fNnPpTtYy0-9+\-/.:\[]"

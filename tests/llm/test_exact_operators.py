@@ -4,8 +4,9 @@ import random
 
 import pytest
 from llm_brute import ALNUM_WORD, cut_repeats, lower, near_groups, phrase_hits, text_statistics
+from pyspark.sql import functions as F
 
-from logshape.llm import decontaminate, near_dedup, quality, substring_dedup
+from logshape.llm import common, decontaminate, near_dedup, quality, substring_dedup
 
 ODD = [None, "", " \n\t ", "one", "One two", "é ü \x1c ß", "\x00 \x7f", "。。 日本語 テキスト", "a" * 3000]
 
@@ -98,13 +99,46 @@ def test_stated_miss_probabilities(percent):
     assert near_dedup.banding(85) == (24, 6)
 
 
-def test_pairs_at_the_threshold_are_found(spark):
-    """4000 pairs of 40 common shingles of 50: at most two are lost."""
-    docs = [(2 * i + j, " ".join(f"{i}x{k}" for k in range(54 if j else 44))) for i in range(4000) for j in (0, 1)]
-    found = near_dedup.near_duplicates(frame(spark, docs), percent=80)
+@pytest.mark.parametrize(("percent", "short", "long"), [(80, 44, 54), (85, 38, 44)])
+def test_pairs_at_the_threshold_are_found(spark, percent, short, long):
+    """3000 pairs just at the threshold (40 of 50, 34 of 40 shingles in common): at most two are lost."""
+    docs = [(2 * i + j, " ".join(f"{i}x{k}" for k in range(long if j else short))) for i in range(3000) for j in (0, 1)]
+    found = near_dedup.near_duplicates(frame(spark, docs), percent=percent)
     assert found.where("doc_id % 2 = 1 and component_id = doc_id").count() <= 2
 
 
+def test_families(spark, monkeypatch):
+    """A chain of texts, a group around one, and a family that is just apart, in blocks of a few members: components are whole, and nothing else is linked."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "PART", 5)
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(100)]
+
+    def changed(w, n):
+        w = list(w)
+        for p in rng.sample(range(len(w)), n):
+            w[p] = f"x{rng.random()}"
+        return w
+
+    texts, now = [], base
+    for _ in range(25):  # each near the one before only
+        texts.append(now)
+        now = changed(now, 1)
+    star, apart = [f"s{i}" for i in range(100)], [f"a{i}" for i in range(100)]
+    texts += [star] + [changed(star, 1) for _ in range(30)] + [changed(apart, 2) for _ in range(40)]
+    docs = list(enumerate(" ".join(w) for w in texts))
+    rng.shuffle(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, docs), percent=85).collect()}
+    assert got == near_groups(docs, 85)
+
+
+def test_key_filter(spark):
+    keys = spark.range(0, 4000, 2).select(F.xxhash64("id").alias("k"))
+    rows = common.maybe_in(spark.range(4000).select("id", F.xxhash64("id").alias("key")), "key", keys).collect()
+    assert all(r["__maybe"] for r in rows if r.id % 2 == 0) and sum(r["__maybe"] for r in rows if r.id % 2) < 300 and len(rows) == 4000
+    assert not any(r["__maybe"] for r in common.maybe_in(spark.range(9).withColumnRenamed("id", "key"), "key", keys.limit(0)).collect())
+
+
 def contaminated(seed=4):
     rng = random.Random(seed)
     items = [(i, " ".join(prose(rng, rng.choice((1, 2, 5, 8, 9, 30)), 60))) for i in range(25)] + [(98, None), (99, " ..."), (None, "w1 w2 w3 w4 w5 w6 w7 w8"), (3, "another text of item three")]

@@ -25,6 +25,8 @@ SWITCH = 12.0
 #: The score of a language that does not use a word's script.
 EXCLUDED = np.float32(-1e9)
 MAX_LANGUAGES = 200
+#: Bytes of text labelled together; with less, the words of few texts advance together.
+SLICE = 1 << 20
 SCRIPTS = {
     "greek": ((0x370, 0x3FF),), "cyrillic": ((0x400, 0x52F),), "armenian": ((0x530, 0x58F),), "hebrew": ((0x590, 0x5FF),), "arabic": ((0x600, 0x6FF), (0x750, 0x77F)),
     "devanagari": ((0x900, 0x97F),), "bengali": ((0x980, 0x9FF),), "tamil": ((0xB80, 0xBFF),), "thai": ((0xE00, 0xE7F),), "georgian": ((0x10A0, 0x10FF),),
@@ -78,7 +80,7 @@ def count_slots(text: str, lang: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 langs = part.column(lang).to_pylist()
                 words = Letters(part.column(text))
                 row = np.repeat(words.row, words.size)
@@ -178,7 +180,7 @@ def label(model, text: str, keep: list[str], switch: float):
         m = model.value
         langs = np.array(m["langs"], dtype=object)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 names, scores, spans = ["und"] * part.num_rows, np.zeros(part.num_rows), [[] for _ in range(part.num_rows)]
                 words = Letters(part.column(text))
                 if len(langs) and len(words.first):

@@ -10,8 +10,8 @@ from logshape.plans.scratch import scratch_dir, written
 __all__ = ["limit_batches", "maybe_in", "row_key", "scratch_dir", "table", "with_columns_replaced", "written"]
 
 
-#: Bytes of a batch that goes to a Python worker at once; Spark's own limit is four times as much.
-BATCH_BYTES = 16 << 20
+#: Bytes of a batch that goes to a Python worker at once; Spark's own limit is eight times as much.
+BATCH_BYTES = 8 << 20
 
 
 def limit_batches(spark: SparkSession) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +50,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that waits for its next task should not hold the last one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most limit bytes of text each, or a single row."""
     if not batch.num_rows:
@@ -58,6 +67,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 class Words:
@@ -129,6 +139,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 200_00
         held, n = [batch.slice(cut)], batch.num_rows - cut
     if n:
         yield pa.Table.from_batches(held)
+    give_back()
 
 
 def int64(h: np.ndarray) -> np.ndarray:

@@ -9,14 +9,19 @@ from logshape.llm import decontaminate, language, mixing, near_dedup, substring_
 from logshape.llm.common import row_key, table, written
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The text as __text and all other columns as __row, so that no name clashes with an operator's and no text goes twice."""
+    return docs.select(F.col("text").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__row"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of which one learned language has half of the letters or more.
 
     Goes: null and empty texts, texts without a letter, texts with no main language. If no row has both text and lang, nothing
     can be learned and all rows go. Repeated rows are judged alike."""
     model = language.train(docs.where("coalesce(crc32(cast(doc_id as string)) % 4 <> 2, true)"))
-    named = docs.select(*docs.columns, F.struct(*docs.columns).alias("__row"))
-    return language.identify(named.select("__row", F.col("text").alias("__text")), model, "__text").where("lang_pred <> 'und' and score >= 0.5").select("__row.*")
+    found = language.identify(_packed(docs), model, "__text").where("lang_pred <> 'und' and score >= 0.5")
+    return found.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +34,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts words covered by 35-word windows that occur elsewhere; n_chars follows. Texts that lose nothing stay as they are, null too."""
-    named = docs.select(row_key("doc_id", "text").alias("__id"), F.col("text").alias("__text"), F.struct(*docs.columns).alias("__row"))
+    named = _packed(docs).withColumn("__id", row_key("__row.doc_id", "__text"))
     cut = substring_dedup.remove_repeats(named, "__id", "__text")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("__row.text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("__row.n_chars"))}
-    return cut.select(*[new.get(c, F.col(f"__row.{c}")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("__text"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("__row.n_chars"))
+    new = {"text": text, "n_chars": n_chars}
+    return cut.select(*[(new[c] if c in new else F.col(f"__row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

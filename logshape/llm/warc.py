@@ -233,7 +233,8 @@ def read_back(names: DataFrame, directory: DataFrame, records: str, blocks: str)
 
     Rows are dealt in the index's order, so a task reads few blocks, each once; LINES records at a time are read in the order they lie in
     the archives. Rows that repeat are looked up once and give all of their records."""
-    shared = names.sparkSession.sparkContext.broadcast(directory_rows(directory))
+    entries = directory_rows(directory)
+    shared = names.sparkSession.sparkContext.broadcast(entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = Archive(shared.value, records, blocks)
@@ -244,7 +245,8 @@ def read_back(names: DataFrame, directory: DataFrame, records: str, blocks: str)
                 got = [{**archive.record(c), "payload": None} for c in captures]
                 yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in (("page", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("type", pa.string()), ("refers_to", pa.string()))], names=["page", "payload_bytes", "digest", "type", "refers_to"])
 
-    rows = names.select("key", "page").distinct().repartitionByRange("key", "page").sortWithinPartitions("key", "page")
+    # a task for about each block: what a task reads follows the records, not the few bytes of their names
+    rows = names.select("key", "page").distinct().repartitionByRange(max(1, len(entries)), "key", "page").sortWithinPartitions("key", "page")
     return rows.mapInArrow(run, "page string, payload_bytes long, digest string, type string, refers_to string")
 
 

@@ -258,7 +258,7 @@ cl AS (SELECT root AS key, min(node) AS cluster, count(*) AS size FROM r GROUP B
 
 @query(_with("doc_log") + _FEATURES.format("AND len(a.p) = len(b.p)") + " SELECT md5(x) AS x, md5(y) AS y, common, total FROM near WHERE 5 * common >= 4 * total")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.similar_pairs(_templates(spark, sf_dir, doc_log), True).select(_md5("x").alias("x"), _md5("y").alias("y"), F.col("common").cast("long").alias("common"), F.col("total").cast("long").alias("total"))
+    return cluster.similar_pairs(stats.parse(doc_log(spark, sf_dir)), True).select(_md5("x").alias("x"), _md5("y").alias("y"), F.col("common").cast("long").alias("common"), F.col("total").cast("long").alias("total"))
 
 
 @query(_with("event_log") + _FEATURES.format("AND len(a.p) = len(b.p)") + """, seen AS (SELECT key, min({'f': file_id, 'l': first_line, 'k': key}) AS s FROM ts GROUP BY key),

@@ -275,7 +275,8 @@ def merge_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with("doc_log") + _FEATURES.format("") + ", t AS (SELECT key, sum(cnt)::BIGINT AS cnt FROM ts GROUP BY key) SELECT md5(cluster) AS cluster, size, md5(cl.key) AS key_md5, cnt FROM cl JOIN t ON t.key = cl.key")
 def analyze_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.analyze(written(_templates(spark, sf_dir, doc_log), "templates")).select(_md5("cluster").alias("cluster"), "size", _md5("key").alias("key_md5"), "cnt")
+    counts = stats.parse(doc_log(spark, sf_dir)).groupBy("key").agg(F.count("*").alias("cnt"))
+    return cluster.analyze(counts).select(_md5("cluster").alias("cluster"), "size", _md5("key").alias("key_md5"), "cnt")
 
 
 @query(_with("event_log") + """, z AS (SELECT value, sum(cnt)::BIGINT AS total, sum(cnt * cnt)::DOUBLE AS sq, max(cnt) AS max_cnt, CASE WHEN count(*) < any_value(n) THEN 0 ELSE min(cnt) END AS min_cnt, any_value(n) AS n FROM vs, nf GROUP BY value),

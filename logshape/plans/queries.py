@@ -25,15 +25,25 @@ def event_line() -> Column:
     )
 
 
+#: Rows of events that one task parses at most, about; their lines are of one length.
+ROWS_A_TASK = 50_000
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; one of fewer splits than cores is dealt out, as parsing is what costs. Larger ones are read as they lie."""
     df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events dealt out by its rows, which files count: a split may hold no row group and another one millions of rows, and tasks must not grow with the table."""
+    df, cores = spark.read.parquet(f"{sf_dir}/events.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // ROWS_A_TASK)))
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file: the type of event; number: its id."""
-    t = _table(spark, sf_dir, "events")
+    t = _events(spark, sf_dir)
     return t.select(F.col("event_type").alias("file_id"), F.col("event_id").alias("line_no"), event_line().alias("line"))
 
 
@@ -315,7 +325,7 @@ def first_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with("event_log") + ", w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, key FROM kl JOIN events ON event_id = line_no) SELECT strftime(hour, '%Y-%m-%d %H') AS hour, md5(key) AS key_md5, count(*) AS cnt FROM w GROUP BY hour, key")
 def template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming operator over a whole table."""
-    lines = _table(spark, sf_dir, "events").select("ts", event_line().alias("line"))
+    lines = _events(spark, sf_dir).select("ts", event_line().alias("line"))
     return template_counts(lines, "ts", "1 hour").select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), _md5("key").alias("key_md5"), "cnt")
 
 

@@ -46,9 +46,6 @@ PREFIXES = {
 }
 #: Values inside a literal.
 SCAN = rf"{V4}(?![0-9])(?:/[0-9]{{1,3}}|:[0-9]{{1,5}})?|(?<![A-Za-z]){V6}(?:/[0-9]{{1,4}})?|0[xX]{_HEX}+|{ARRAY}"
-#: A literal that could hold a value.
-MAYBE = r"[0-9:\[]"
-KEY_VALUE = r"^([\s\S]+):([^:]+)\z"
 
 #: The first pattern that a whole token matches gives its type; without one it is a literal.
 CLASSES = (
@@ -73,5 +70,5 @@ CLASSES = (
 WORD = r"^[^0-9:\[/.+\-g-zG-Z]*[g-zG-Z][^0-9:\[/.+\-]*\z"
 #: Digits that are too few for another type.
 SHORT_NUMBER = r"^[0-9]{1,7}\z"
-#: First characters of all types but BOOL and PTR.
-FIRST = r"^[A-Fa-fNnPpTtYy0-9+\-/.:\[]"
+#: An IPv6 address has two colons side by side, or seven.
+SEVEN_COLONS = r"^(?:[^:]*+:){7}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logshape.functions import classify, dictionary_tokens, display, parsed, slots_of, slots_of_key, template_key, tokens, values_of
+from logshape.functions import classify, dictionary_tokens, display, join_slots, slot, slot_and_values, slots_of_key, tokens, values
 
 
 def has_tokens(line: str | Column) -> Column:
@@ -15,8 +15,19 @@ def has_tokens(line: str | Column) -> Column:
 
 def parse(lines: DataFrame) -> DataFrame:
     """(file_id, line_no, key, vars) of each line that has tokens; vars are the values in order with their types. Null lines have none."""
-    parts = lines.where(has_tokens("line")).select("file_id", "line_no", F.transform(tokens("line"), parsed).alias("parts"))
-    return parts.select("file_id", "line_no", template_key(slots_of("parts")).alias("key"), values_of("parts").alias("vars"))
+    parts = lines.where(has_tokens("line")).select("file_id", "line_no", F.transform(tokens("line"), slot_and_values).alias("parts"))
+    return parts.select("file_id", "line_no", join_slots(F.col("parts")["slot"]).alias("key"), F.flatten(F.col("parts")["vals"]).alias("vars"))
+
+
+def parse_keys(lines: DataFrame) -> DataFrame:
+    """parse without vars, for what needs no values: the other columns of lines, and key for line."""
+    others = [c for c in lines.columns if c != "line"]
+    return lines.where(has_tokens("line")).select(*others, join_slots(F.transform(tokens("line"), slot)).alias("key"))
+
+
+def parse_values(lines: DataFrame) -> DataFrame:
+    """parse without key, for what needs no templates."""
+    return lines.where(has_tokens("line")).select("file_id", "line_no", F.flatten(F.transform(tokens("line"), values)).alias("vars"))
 
 
 def template_stats(parsed_lines: DataFrame) -> DataFrame:

@@ -29,6 +29,11 @@ def event_line() -> Column:
 ROWS_A_TASK = 50_000
 
 
+def _dealt(df: DataFrame, tasks: int) -> DataFrame:
+    """df dealt out: a split may hold no row group and another one millions of rows, and tasks must not grow with the table. By the hash of whole rows, as dealing in turn would sort each split."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, tasks), *df.columns)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; one of fewer splits than cores is dealt out, as parsing is what costs. Larger ones are read as they lie."""
     df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
@@ -36,9 +41,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events dealt out by its rows, which files count: a split may hold no row group and another one millions of rows, and tasks must not grow with the table."""
-    df, cores = spark.read.parquet(f"{sf_dir}/events.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(max(cores, -(-df.count() // ROWS_A_TASK)))
+    """events dealt out by its rows, which files count."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return _dealt(df, -(-df.count() // ROWS_A_TASK))
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +140,7 @@ def _md5(c: str) -> Column:
 
 
 def _templates(spark: SparkSession, sf_dir: str, view=event_log) -> DataFrame:
-    return stats.template_stats(stats.parse(view(spark, sf_dir)))
+    return stats.template_stats(stats.parse_keys(view(spark, sf_dir)))
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -188,7 +193,7 @@ def template_count_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with("event_log") + f", a AS (SELECT value, sum(cnt)::BIGINT AS cnt, min(first_line) AS first_line FROM vs GROUP BY value) SELECT value, cnt, first_line, {_classify_sql('value')} AS type FROM a ORDER BY cnt DESC, first_line, value LIMIT 50")
 def var_values_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.top_values(_all_files(stats.var_stats(stats.parse(event_log(spark, sf_dir)))), 50)
+    return stats.top_values(_all_files(stats.var_stats(stats.parse_values(event_log(spark, sf_dir)))), 50)
 
 
 _PRESENCE = ", p AS (SELECT {0}, count(*) AS n_files, min(file_id) AS low, sum(cnt)::BIGINT AS cnt, min(file_id) AS first_file FROM {1} GROUP BY {0})"
@@ -196,7 +201,7 @@ _PRESENCE = ", p AS (SELECT {0}, count(*) AS n_files, min(file_id) AS low, sum(c
 
 @query(_with("doc_log") + _PRESENCE.format("value", "vs") + " SELECT value, n_files, cnt FROM p, nf WHERE n_files = n")
 def var_values_common(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = stats.var_stats(stats.parse(doc_log(spark, sf_dir)))
+    values = stats.var_stats(stats.parse_values(doc_log(spark, sf_dir)))
     return diff.common(values, "value", _n_files(spark, sf_dir, "documents", "source")).select("value", "n_files", "cnt")
 
 
@@ -268,7 +273,7 @@ cl AS (SELECT root AS key, min(node) AS cluster, count(*) AS size FROM r GROUP B
 
 @query(_with("doc_log") + _FEATURES.format("AND len(a.p) = len(b.p)") + " SELECT md5(x) AS x, md5(y) AS y, common, total FROM near WHERE 5 * common >= 4 * total")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.similar_pairs(stats.parse(doc_log(spark, sf_dir)), True).select(_md5("x").alias("x"), _md5("y").alias("y"), F.col("common").cast("long").alias("common"), F.col("total").cast("long").alias("total"))
+    return cluster.similar_pairs(stats.parse_keys(doc_log(spark, sf_dir)), True).select(_md5("x").alias("x"), _md5("y").alias("y"), F.col("common").cast("long").alias("common"), F.col("total").cast("long").alias("total"))
 
 
 @query(_with("event_log") + _FEATURES.format("AND len(a.p) = len(b.p)") + """, seen AS (SELECT key, min({'f': file_id, 'l': first_line, 'k': key}) AS s FROM ts GROUP BY key),
@@ -285,7 +290,7 @@ def merge_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with("doc_log") + _FEATURES.format("") + ", t AS (SELECT key, sum(cnt)::BIGINT AS cnt FROM ts GROUP BY key) SELECT md5(cluster) AS cluster, size, md5(cl.key) AS key_md5, cnt FROM cl JOIN t ON t.key = cl.key")
 def analyze_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = stats.parse(doc_log(spark, sf_dir)).groupBy("key").agg(F.count("*").alias("cnt"))
+    counts = stats.parse_keys(doc_log(spark, sf_dir)).groupBy("key").agg(F.count("*").alias("cnt"))
     return cluster.analyze(counts).select(_md5("cluster").alias("cluster"), "size", _md5("key").alias("key_md5"), "cnt")
 
 

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logshape.operators import cluster
+from logshape.functions import classify, parsed, register, slots_of, template_key, tokens, values_of
+from logshape.operators import cluster, stats
 from logshape.plans import queries
 
 
@@ -55,3 +56,38 @@ def test_events_are_dealt_by_rows(spark, tmp_path, monkeypatch):
     rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     sizes = queries.event_log(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert sum(s["count"] for s in sizes) == 5000 and max(s["count"] for s in sizes) <= 200
+
+
+def test_types_are_the_first_that_match(spark):
+    """The classifier's short cuts against one pattern after the other, and the three ways to parse a line against each other."""
+    r, parts = random.Random(3), ["true", "No", "nil", "1.2.3.4", ":80", "/24", "fe80::1", "::", "1:2:3:4:5:6:7:8", "%eth0", "0x1f", "cafebabe", "f" * 32, "12345678-abcd-ef01-2345-6789abcdef01", "2024-06-30", "/a", ".", "..", "x", "[1, 2]", "[a]", "+", "-", "k:", "7", "\u0001", "é", "'", "a b"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randrange(1, 4))), "f") for i in range(4000)]
+    register(spark)
+    df = spark.createDataFrame(rows, "line_no long, line string, file_id string")
+    assert df.select("line", classify("line").alias("got"), F.expr("ls_classify(line)").alias("first")).where("got <> first").collect() == []
+    each = df.select("line_no", F.transform(tokens("line"), parsed).alias("p")).select("line_no", template_key(slots_of("p")).alias("key"), values_of("p").alias("vars"))
+    assert {tuple(x) for x in stats.parse(df).select("line_no", "key", F.to_json("vars")).collect()} == {tuple(x) for x in each.select("line_no", "key", F.to_json("vars")).collect()}
+    apart = stats.parse_keys(df).join(stats.parse_values(df), ["file_id", "line_no"])
+    assert stats.parse(df).exceptAll(apart.select("file_id", "line_no", "key", "vars")).count() == 0 and apart.count() == len(rows)
+
+
+#: What the plans of queries must not hold: values where templates are counted, templates where values are, a second pass over what was parsed.
+UNASKED = {
+    "templates_unique": "vals",
+}
+
+
+@pytest.fixture
+def few_events(spark, tmp_path):
+    rows = spark.range(300).select(F.col("id").alias("event_id"), F.current_timestamp().alias("ts"), F.col("id").alias("user_id"), F.when(F.col("id") % 2 == 0, "view").otherwise("click").alias("event_type"), F.lit(1.5).alias("value"), F.lit(None).cast("string").alias("props"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", UNASKED)
+def test_only_what_is_asked_for_is_parsed(spark, few_events, name, monkeypatch):
+    plans, write = [], queries.written
+    plan = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df
+    monkeypatch.setattr(queries, "written", lambda df, n: write(plan(df), n))
+    plan(queries.QUERIES[name](spark, few_events))
+    assert any("regexp_extract_all" in p for p in plans) and not [p for p in plans if UNASKED[name] in p]

@@ -311,8 +311,9 @@ def group_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with("event_log") + ", x AS (SELECT file_id, line_no, list(value ORDER BY o) AS vs2 FROM (SELECT file_id, line_no, unnest(vals).value AS value, pos * 1000 + generate_subscripts(vals, 1) AS o FROM jt) GROUP BY file_id, line_no), s AS (SELECT kl.key, kl.file_id, unnest(vs2) AS value, generate_subscripts(vs2, 1) - 1 AS slot FROM x JOIN kl ON kl.file_id = x.file_id AND kl.line_no = x.line_no) SELECT md5(key) AS key_md5, slot, value, file_id, count(*) AS cnt FROM s GROUP BY key, slot, value, file_id")
 def var_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = stats.value_distribution(stats.parse(event_log(spark, sf_dir)))
-    return out.select(_md5("key").alias("key_md5"), F.col("slot").cast("long").alias("slot"), "value", "file_id", "cnt")
+    # rows of values carry the key's 128 bits, which the result has, and not the key
+    out = stats.value_distribution(stats.parse(event_log(spark, sf_dir)).withColumn("key", _md5("key")))
+    return out.select(F.col("key").alias("key_md5"), F.col("slot").cast("long").alias("slot"), "value", "file_id", "cnt")
 
 
 @query(f"""WITH l AS ({SQL_LINES['event_log']}), n AS (SELECT file_id, line, row_number() OVER (PARTITION BY file_id ORDER BY line_no) - 1 AS i FROM l WHERE file_id IN ('click', 'view')),

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logshape.functions import parsed, slots_of, template_key, tokens
-from logshape.operators.stats import has_tokens
+from logshape.operators.stats import parse_keys
 
 
 def template_counts(lines: DataFrame, time_col: str, window: str = "1 minute", watermark: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """(window, key, cnt) of a stream (or table) of (time, line). State is a count a window and template, dropped after the watermark."""
-    parts = lines.withWatermark(time_col, watermark).where(has_tokens("line")).select(time_col, F.transform(tokens("line"), parsed).alias("parts"))
-    keyed = parts.select(time_col, template_key(slots_of("parts")).alias("key"))
+    keyed = parse_keys(lines.withWatermark(time_col, watermark).select(time_col, "line"))
     return keyed.groupBy(F.window(time_col, window, slide), "key").agg(F.count("*").alias("cnt"))
 
 

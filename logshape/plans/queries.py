@@ -306,7 +306,7 @@ def freq_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with("event_log") + """, i AS (SELECT value, count(DISTINCT file_id) FILTER (WHERE file_id IN ('click', 'view')) AS a, count(DISTINCT file_id) FILTER (WHERE file_id IN ('error', 'signup')) AS b FROM vs GROUP BY value)
 SELECT value, a AS in_a, b AS in_b, CASE WHEN a = 2 AND b = 0 THEN 'a_only' WHEN b = 2 AND a = 0 THEN 'b_only' ELSE 'common' END AS side FROM i WHERE (a = 2 AND b = 0) OR (b = 2 AND a = 0) OR (a = 2 AND b = 2)""")
 def group_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.group_diff(stats.var_stats(stats.parse(event_log(spark, sf_dir))), "value", ["click", "view"], ["error", "signup"])
+    return diff.group_diff(stats.var_stats(stats.parse_values(event_log(spark, sf_dir))), "value", ["click", "view"], ["error", "signup"])
 
 
 @query(_with("event_log") + ", x AS (SELECT file_id, line_no, list(value ORDER BY o) AS vs2 FROM (SELECT file_id, line_no, unnest(vals).value AS value, pos * 1000 + generate_subscripts(vals, 1) AS o FROM jt) GROUP BY file_id, line_no), s AS (SELECT kl.key, kl.file_id, unnest(vs2) AS value, generate_subscripts(vs2, 1) - 1 AS slot FROM x JOIN kl ON kl.file_id = x.file_id AND kl.line_no = x.line_no) SELECT md5(key) AS key_md5, slot, value, file_id, count(*) AS cnt FROM s GROUP BY key, slot, value, file_id")

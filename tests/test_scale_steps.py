@@ -76,6 +76,7 @@ UNASKED = {
     "templates_unique": "vals",
     "var_distribution": "transform(parts",
     "template_windows": "vals",
+    "group_diff": "array_join",
 }
 
 

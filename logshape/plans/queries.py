@@ -298,7 +298,7 @@ def analyze_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 y AS (SELECT *, total / n::DOUBLE AS mean, sqrt(greatest(sq / n - (total / n::DOUBLE) * (total / n::DOUBLE), 0)) AS sd, CASE WHEN min_cnt = 0 THEN max_cnt::DOUBLE ELSE max_cnt / min_cnt::DOUBLE END AS ratio FROM z)
 SELECT value, total, max_cnt, min_cnt, round(mean, 6) AS mean, round(sd, 6) AS stddev, round(ratio, 6) AS ratio FROM y WHERE total >= 10 AND (sd / mean >= 1.0 OR ratio >= 5.0)""")
 def freq_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = stats.var_stats(stats.parse(event_log(spark, sf_dir)))
+    values = stats.var_stats(stats.parse_values(event_log(spark, sf_dir)))
     out = diff.frequency_anomalies(values, "value", _n_files(spark, sf_dir, "events", "event_type"))
     return out.select("value", "total", "max_cnt", "min_cnt", *[F.round(c, 6).alias(c) for c in ("mean", "stddev", "ratio")])
 

@@ -77,6 +77,7 @@ UNASKED = {
     "var_distribution": "transform(parts",
     "template_windows": "vals",
     "group_diff": "array_join",
+    "freq_anomalies": "array_join",
 }
 
 

@@ -65,7 +65,7 @@ def top_values(stats: DataFrame, n: int, by_first: bool = False) -> DataFrame:
 
 def interned(parsed_lines: DataFrame) -> DataFrame:
     """(token) all distinct strings of slots and values: literals after normalisation, and values."""
-    literal = parsed_lines.select(F.explode_outer(slots_of_key("key")["lit"]).alias("token"))
+    literal = parsed_lines.select("key").distinct().select(F.explode_outer(slots_of_key("key")["lit"]).alias("token"))
     return literal.unionAll(parsed_lines.select(F.explode_outer("vars.value").alias("token"))).where("token is not null").distinct()
 
 

@@ -229,8 +229,8 @@ def template_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with("event_log") + "SELECT (SELECT count(*) FROM (SELECT lit FROM jt WHERE type = 'LIT' UNION SELECT value FROM vl)) AS tokens, (SELECT count(DISTINCT key) FROM kl) AS templates, (SELECT count(*) FROM lines) AS lines")
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = event_log(spark, sf_dir)
-    parsed = written(stats.parse(lines), "parsed")
+    parsed = written(stats.parse(event_log(spark, sf_dir)), "parsed")
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet")  # an event is a line; these need not be dealt out
     counts = [stats.interned(parsed).agg(F.count("*").alias("tokens")), parsed.select("key").distinct().agg(F.count("*").alias("templates")), lines.agg(F.count("*").alias("lines"))]
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # a row each
 

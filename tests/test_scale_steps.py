@@ -79,6 +79,7 @@ UNASKED = {
     "group_diff": "array_join",
     "freq_anomalies": "array_join",
     "token_totals": "transform(parts",
+    "merge_templates": "vals",
 }
 
 

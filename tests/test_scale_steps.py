@@ -80,6 +80,7 @@ UNASKED = {
     "freq_anomalies": "array_join",
     "token_totals": "transform(parts",
     "merge_templates": "vals",
+    "template_top": "vals",
 }
 
 

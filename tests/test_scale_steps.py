@@ -81,6 +81,7 @@ UNASKED = {
     "token_totals": "transform(parts",
     "merge_templates": "vals",
     "template_top": "vals",
+    "merged_sets": "vals",
 }
 
 

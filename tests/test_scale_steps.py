@@ -82,6 +82,7 @@ UNASKED = {
     "merge_templates": "vals",
     "template_top": "vals",
     "merged_sets": "vals",
+    "var_values_unique": "array_join",
 }
 
 

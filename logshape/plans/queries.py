@@ -188,7 +188,7 @@ def template_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with("event_log", "NOT contains(line, 'ERROR') AND NOT contains(line, 'user=1')") + "SELECT file_id, template, md5(key) AS key_md5, cnt, first_line FROM ts")
 def template_count_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(stats.template_stats(stats.parse(exclude(event_log(spark, sf_dir), ["ERROR", "user=1"]))))
+    return _shown(stats.template_stats(stats.parse_keys(exclude(event_log(spark, sf_dir), ["ERROR", "user=1"]))))
 
 
 @query(_with("event_log") + f", a AS (SELECT value, sum(cnt)::BIGINT AS cnt, min(first_line) AS first_line FROM vs GROUP BY value) SELECT value, cnt, first_line, {_classify_sql('value')} AS type FROM a ORDER BY cnt DESC, first_line, value LIMIT 50")

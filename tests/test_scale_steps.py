@@ -83,6 +83,7 @@ UNASKED = {
     "template_top": "vals",
     "merged_sets": "vals",
     "var_values_unique": "array_join",
+    "template_count_excluded": "vals",
 }
 
 

@@ -27,6 +27,8 @@ def event_line() -> Column:
 
 #: Rows of events that one task parses at most, about; their lines are of one length.
 ROWS_A_TASK = 50_000
+#: Bytes of text that one task parses, about.
+BYTES_A_TASK = 8 << 20
 
 
 def _dealt(df: DataFrame, tasks: int) -> DataFrame:
@@ -34,10 +36,10 @@ def _dealt(df: DataFrame, tasks: int) -> DataFrame:
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, tasks), *df.columns)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one of fewer splits than cores is dealt out, as parsing is what costs. Larger ones are read as they lie."""
-    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def _texts(spark: SparkSession, sf_dir: str, name: str, *others: str) -> DataFrame:
+    """Columns of a table and its text, dealt out by the bytes of the texts."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*others, "text")
+    return _dealt(df, -(-(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_TASK))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,14 +56,14 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents; file: the source; number: the document's id and the place in it."""
-    t = _table(spark, sf_dir, "documents")
+    t = _texts(spark, sf_dir, "documents", "source", "doc_id")
     t = t.select(F.col("source").alias("file_id"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return t.select("file_id", (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("line_no"), "line")
 
 
 def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of conversations; file: the role; number: conversation, turn and place."""
-    t = _table(spark, sf_dir, "conversations")
+    t = _texts(spark, sf_dir, "conversations", "role", "conv_id", "turn")
     t = t.select(F.col("role").alias("file_id"), "conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return t.select("file_id", (F.col("conv_id") * 1_000_000_000 + F.col("turn") * 100_000 + F.col("pos")).alias("line_no"), "line")
 

@@ -108,3 +108,13 @@ def test_slots_are_taken_from_distinct_keys(spark):
     parsed_lines = spark.createDataFrame([("a", [])] * 3, "key string, vars array<struct<type:string,value:string>>")
     plan = stats.interned(parsed_lines)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [key" in plan.split("split(key")[1]
+
+
+def test_texts_are_dealt_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "BYTES_A_TASK", 2000)
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.concat(F.lit("text "), F.col("id").cast("string"), F.lit("\n" + "x" * 10)).alias("text"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = queries.doc_log(spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*").alias("lines")).collect()
+    assert sum(x["lines"] for x in sizes) == 4000 and len(sizes) > 15 and max(x["lines"] for x in sizes) <= 500
+    spark.createDataFrame([], rows.schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert queries.doc_log(spark, f"{tmp_path}/none").count() == 0

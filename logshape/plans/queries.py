@@ -32,8 +32,9 @@ BYTES_A_TASK = 8 << 20
 
 
 def _dealt(df: DataFrame, tasks: int) -> DataFrame:
-    """df dealt out: a split may hold no row group and another one millions of rows, and tasks must not grow with the table. By the hash of whole rows, as dealing in turn would sort each split."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, tasks), *df.columns)
+    """df dealt out: a split may hold no row group and another one millions of rows, and tasks must not grow with the table. By a number for each row, as copies of a row would meet by their hash, and dealing in turn would sort each split."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, tasks)
+    return df.withColumn("__row", F.monotonically_increasing_id()).repartition(tasks, "__row").drop("__row")
 
 
 def _texts(spark: SparkSession, sf_dir: str, name: str, *others: str) -> DataFrame:

@@ -118,3 +118,23 @@ def test_texts_are_dealt_by_bytes(spark, tmp_path, monkeypatch):
     assert sum(x["lines"] for x in sizes) == 4000 and len(sizes) > 15 and max(x["lines"] for x in sizes) <= 500
     spark.createDataFrame([], rows.schema).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert queries.doc_log(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("name", ["merge_templates", "template_top", "merged_sets"])
+def test_copies_of_a_row_are_dealt_apart(spark, tmp_path, name, monkeypatch):
+    """A table of one row, many times, gives no task more rows than a table of different ones."""
+    monkeypatch.setattr(queries, "ROWS_A_TASK", 100)
+    row = spark.range(5000).select(F.lit(7).cast("long").alias("event_id"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit(3).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.5).alias("value"), F.lit('{"k": 1}').alias("props"))
+    row.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    tasks, parse = [], stats.parse_keys
+    monkeypatch.setattr(queries.stats, "parse_keys", lambda lines: tasks.append(lines) or parse(lines))
+    got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    sizes = [s["count"] for s in tasks[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert [r["cnt"] for r in got] == [5000] == [sum(sizes)] and max(sizes) <= 200
+
+
+def test_copies_of_a_text_are_dealt_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "BYTES_A_TASK", 2000)
+    spark.range(2000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit("one text\nof many").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = queries.doc_log(spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*").alias("lines")).collect()
+    assert sum(x["lines"] for x in sizes) == 4000 and max(x["lines"] for x in sizes) <= 500

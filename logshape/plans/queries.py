@@ -18,11 +18,13 @@ from logshape.streaming.templates import template_counts
 
 
 def event_line() -> Column:
+    """An event's line, made where it stands: a test of a line that moved below the deal would have the few tasks that read the table make each line too."""
     c = F.col
-    return F.concat(
+    line = F.concat(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" "), F.upper("event_type"), F.lit(" user="), c("user_id"), F.lit(" value="), F.floor("value").cast("long"), F.lit(" addr=10."), c("user_id") % 256, F.lit("."), c("event_id") % 200, F.lit(".7:"), 8000 + c("event_id") % 100,
         F.lit(" ptr=0x"), F.lower(F.hex("user_id")), F.lit(" path=/var/u/"), c("user_id") % 10, F.lit(" ok="), F.when(c("event_id") % 2 == 0, "true").otherwise("no"), F.lit(" list=[1, "), c("event_id") % 3, F.lit("] peer:PeerId:"), c("event_id") % 7, F.lit(" "), F.coalesce("props", F.lit("")),
     )
+    return F.when(F.spark_partition_id() >= 0, line)  # always so; the optimizer leaves tests of what is not deterministic in their place
 
 
 #: Rows of events that one task parses at most, about; their lines are of one length.
@@ -49,9 +51,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dealt(df, -(-df.count() // ROWS_A_TASK))
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file: the type of event; number: its id."""
+def event_log(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
+    """file: the type of event; number: its id. only: of one type, which is told before events are dealt."""
     t = _events(spark, sf_dir)
+    t = t if only is None else t.where(F.col("event_type") == only)
     return t.select(F.col("event_type").alias("file_id"), F.col("event_id").alias("line_no"), event_line().alias("line"))
 
 
@@ -323,10 +326,9 @@ def var_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 j AS (SELECT coalesce(a.i, b.i) AS line_no, a.line AS line_a, b.line AS line_b FROM (SELECT * FROM n WHERE file_id = 'click') a FULL JOIN (SELECT * FROM n WHERE file_id = 'view') b ON a.i = b.i WHERE a.line IS DISTINCT FROM b.line)
 SELECT * FROM j ORDER BY line_no LIMIT 1""")
 def first_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    two = event_log(spark, sf_dir).where("file_id in ('click', 'view')")
     numbered = None
     for f in ("click", "view"):
-        own = dictionary.dense_ids(two.where(F.col("file_id") == f), ["line_no"], "i").select("file_id", F.col("i").alias("line_no"), "line")
+        own = dictionary.dense_ids(event_log(spark, sf_dir, f), ["line_no"], "i").select("file_id", F.col("i").alias("line_no"), "line")
         numbered = own if numbered is None else numbered.unionAll(own)
     return diff.first_divergence(numbered, "click", "view").drop("similarity")
 

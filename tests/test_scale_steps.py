@@ -133,6 +133,17 @@ def test_copies_of_a_row_are_dealt_apart(spark, tmp_path, name, monkeypatch):
     assert [r["cnt"] for r in got] == [5000] == [sum(sizes)] and max(sizes) <= 200
 
 
+@pytest.mark.parametrize("name", [*UNASKED, "var_values_top", "merged_top"])
+def test_readers_of_events_make_no_lines(spark, few_events, name, monkeypatch):
+    """What reads a row group deals its events out and makes no line of them, for no test of a line either."""
+    plans, write = [], queries.written
+    plan = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df
+    monkeypatch.setattr(queries, "written", lambda df, n: write(plan(df), n))
+    plan(queries.QUERIES[name](spark, few_events))
+    below = [part.split("Relation [")[0] for p in plans for part in p.split("RepartitionByExpression [__row")[1:]]
+    assert below and not [b for b in below if "peer:PeerId" in b]
+
+
 def test_copies_of_a_text_are_dealt_apart(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "BYTES_A_TASK", 2000)
     spark.range(2000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit("one text\nof many").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
